@@ -265,6 +265,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     columns are not looked at.  An empty table gives an empty result.
     """
     least = _least(num, den)
+    C.small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     base = C.cut(docs.mapInArrow(lambda it: _sign(it, k), "doc_id long, th long, n_shingles long, node long, sig binary, keys array<long>, orders array<long>"), "signed")
 
