@@ -55,6 +55,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """The path of an installed public vocabulary file, the same on every machine that has the package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def held_out(id_col: Column) -> Column:
     """True for the third of ids whose labels are never learned from."""
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))

@@ -8,13 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
 from .near_duplicates import near_duplicates
+from .sharding import shard
+from .token_counts import token_counts
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(C.read(spark, sf_dir, "documents"), k=3, num=85, den=100)
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(C.read(spark, sf_dir, "documents"), shards=16)
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(C.read(spark, sf_dir, "documents"), C.tokenizer("byte_bpe_50k.json"), limit=512)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op8_sharding": op8_sharding,
+    "op10_token_counts": op10_token_counts,
 }
 ORACLE_SQL: dict[str, str] = {}
