@@ -77,16 +77,10 @@ def shard(docs: DataFrame, shards: int = 16, vnodes: int = 100, id_col: str = "d
         F.pmod(F.xxhash64(F.lit("cell"), F.col(id_col), text), F.lit(CELLS)).cast("int").alias("cell"),
     )
     # the arc of a position: how many virtual nodes lie before it, found by halving
-    index = F.lit(0)
-    step = 1 << (len(positions) - 1).bit_length()
-    edges = F.lit(sorted(positions))
-    while step:
-        probe = index + step
-        index = F.when((probe <= len(positions)) & (F.element_at(edges, F.least(probe, F.lit(len(positions)))) < F.col("pos")), probe).otherwise(index)
-        rows = rows.withColumn(f"i{step}", index)
-        index = F.col(f"i{step}")
-        step //= 2
-    rows = rows.withColumn("arc", F.pmod(index, F.lit(len(positions)))).select("doc_id", "size", "text_crc32", "arc", "cell")
+    edges = F.lit(positions)
+    steps = F.lit([1 << k for k in range(len(positions).bit_length() - 1, -1, -1)])
+    nodes_before = F.aggregate(steps, F.lit(0), lambda i, step: F.when((i + step <= len(positions)) & (F.get(edges, i + step - 1) < F.col("pos")), i + step).otherwise(i))
+    rows = rows.withColumn("arc", F.pmod(nodes_before, F.lit(len(positions)))).select("doc_id", "size", "text_crc32", "arc", "cell")
 
     counts = {(r.arc, r.cell): r.n for r in rows.groupBy("arc", "cell").agg(F.count("*").alias("n")).collect()}
     arcs = [sum(counts.get((a, c), 0) for c in range(CELLS)) for a in range(len(positions))]
