@@ -5,13 +5,32 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common as C
+from . import quality as Q
+from . import toxicity as X
 from .near_duplicates import near_duplicates
 from .sharding import shard
 from .token_counts import token_counts
 
 
+def _training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.read(spark, sf_dir, "labels").where(~C.held_out(F.col("doc_id")))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.read(spark, sf_dir, "documents")
+    lexicon = X.learn(docs, _training_labels(spark, sf_dir))
+    return X.toxicity(docs, lexicon, threshold=0.7).withColumn("held_out", C.held_out(F.col("doc_id")))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.read(spark, sf_dir, "documents")
+    views = Q.learn(docs, _training_labels(spark, sf_dir))
+    return Q.quality(docs, views, threshold=0.5).withColumn("held_out", C.held_out(F.col("doc_id")))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(C.read(spark, sf_dir, "documents"), k=3, num=85, den=100)
 
@@ -25,6 +44,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op8_sharding": op8_sharding,
     "op10_token_counts": op10_token_counts,
