@@ -37,7 +37,7 @@ from .components import components
 
 SYMBOLS, CHUNKS, ERRORS = 30, (5, 5, 4, 4, 4, 4, 4), 13
 SKETCH = 128
-BLOCK = 128
+BLOCK = 512
 _START = np.concatenate([[0], np.cumsum(CHUNKS)])
 #: Key t leaves symbol t out: the other symbols of its chunk.
 _REST = [[s for s in range(_START[c], _START[c + 1]) if s != t] for t in range(SYMBOLS) for c in [int(np.searchsorted(_START, t, "right")) - 1]]
