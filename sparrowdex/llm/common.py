@@ -44,7 +44,8 @@ def drop(*tables: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most ``rows`` rows, so that whole texts on both sides of the pipe stay a few megabytes."""
+    """Arrow batches of at most ``rows`` rows and 4 MB, so that whole texts on both sides of the pipe stay small."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= rows:
         spark.conf.set(key, str(rows))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from . import common as C
 from . import quality as Q
 from . import toxicity as X
+from .fingerprints import document_fingerprints
+from .licenses import license_scan
 from .near_duplicates import near_duplicates
 from .sharding import shard
 from .token_counts import token_counts
@@ -35,6 +37,14 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(C.read(spark, sf_dir, "documents"), k=3, num=85, den=100)
 
 
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(C.read(spark, sf_dir, "documents"))
+
+
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_fingerprints(C.read(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(C.read(spark, sf_dir, "documents"), shards=16)
 
@@ -47,6 +57,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_license_scans": op4_license_scans,
+    "op7_document_fingerprints": op7_document_fingerprints,
     "op8_sharding": op8_sharding,
     "op10_token_counts": op10_token_counts,
 }
