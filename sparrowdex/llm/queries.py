@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import common as C
 from . import quality as Q
 from . import toxicity as X
+from .embeddings import embedding_near_duplicates
 from .fingerprints import document_fingerprints
 from .licenses import license_scan
 from .near_duplicates import near_duplicates
@@ -41,6 +42,10 @@ def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(C.read(spark, sf_dir, "documents"))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_near_duplicates(C.read(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_fingerprints(C.read(spark, sf_dir, "documents"))
 
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_license_scans": op4_license_scans,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_document_fingerprints": op7_document_fingerprints,
     "op8_sharding": op8_sharding,
     "op10_token_counts": op10_token_counts,
