@@ -15,7 +15,7 @@ def _count(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
     model = bpe.load(path)
     for b in batches:
         texts = ["" if t is None else t for t in b.column(1).to_pylist()]
-        n = [len(x) // 4 for x in model.encode(texts)]
+        n = model.encode(texts, with_ids=False)[1]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
 
