@@ -67,11 +67,11 @@ def _row(doc_id, text: str, following: str, mine: bytes, theirs: bytes) -> tuple
     edited = edit(text, following)
     raw = edited.encode()
     new = mine if edited == text else fingerprint(C.word_hashes(raw)[0])
-    return doc_id, len(text), hashlib.sha256(raw).hexdigest(), mine.hex(), new.hex(), likeness(mine, new), likeness(mine, theirs)
+    return doc_id, len(text), hashlib.sha256(raw).digest(), mine, new, likeness(mine, new), likeness(mine, theirs)
 
 
-_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+_SCHEMA = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+_ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 _EDGE = pa.schema([*_ARROW, ("part", pa.int32()), ("edge", pa.string()), ("text", pa.string())])
 
 
@@ -133,10 +133,11 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     done = C.cut(dealt.mapInArrow(_runs, f"{_SCHEMA}, part int, edge string, text string"), "fingerprints")
     edges = done.where("edge is not null")
     parts = sorted(r.part for r in edges.where("edge = 'first'").select("part").collect())
+    hexed = lambda df: df.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")})
     if not parts:
-        return done.drop("part", "edge", "text")
+        return hexed(done.drop("part", "edge", "text"))
     order = spark.createDataFrame([(p, parts[(i + 1) % len(parts)]) for i, p in enumerate(parts)], "part int, follows int")
     ends = edges.where("edge = 'last'").select("part", "doc_id", F.col("text").alias("own")).join(F.broadcast(order), "part")
     heads = edges.where("edge = 'first'").select(F.col("part").alias("follows"), F.col("text").alias("following"))
     rest = ends.join(heads, "follows").select("doc_id", "own", "following").mapInArrow(_joined, _SCHEMA)
-    return done.where("edge is null").drop("part", "edge", "text").union(rest)
+    return hexed(done.where("edge is null").drop("part", "edge", "text").union(rest))
