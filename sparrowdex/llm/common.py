@@ -68,6 +68,23 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
+def column(batch: pa.RecordBatch, name: str) -> list:
+    """The column's values; nulls if there is no such column."""
+    return batch.column(name).to_pylist() if name in batch.schema.names else [None] * batch.num_rows
+
+
+def filter_rows(docs: DataFrame, keep) -> DataFrame:
+    """The rows of which ``keep(batch)`` says True, with all their columns; no row is moved."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield b.filter(pa.array(keep(b), pa.bool_()))
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
+
+
 # ------------------------------------------------- streams of whole key groups
 
 

@@ -253,7 +253,7 @@ def _confirm(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> I
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
+    """One row per input row: doc_id, n_shingles, component_id, text_hash, class_hash, kept.
 
     Rows are linked when den * |intersection| >= num * |union| of their k-word
     shingle sets; ``component_id`` is the smallest id reachable by links.  Words are
@@ -261,7 +261,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     shingles and no links.  Rows that repeat an id or a text are rows of their own,
     linked by their texts.  A null id counts as larger than all others: such a
     row gets the id of its component if some row there has one, else null, and is
-    kept only in the latter case.  Rows with the component's id are kept.  Other
+    kept only in the latter case.  Rows with the component's id are kept.
+    ``class_hash`` names the component, null where there are no shingles.  Other
     columns are not looked at.  An empty table gives an empty result.
     """
     least = _least(num, den)
@@ -329,11 +330,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     final = components(links.union(links_3))
     C.drop(label, marked, posts, sigs, home)
 
-    members = base.select("doc_id", "n_shingles", "node")
+    members = base.select("doc_id", "th", "n_shingles", "node")
     named = members.where("node is not null").join(final, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    named = C.cut(named.select("doc_id", "n_shingles", "comp"), "named")
+    named = C.cut(named.select("doc_id", "th", "n_shingles", "comp"), "named")
     low = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    out = named.join(low, "comp").select("doc_id", "n_shingles", "component_id")
-    alone = members.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = named.join(low, "comp").select("doc_id", "n_shingles", "component_id", F.col("th").alias("text_hash"), F.col("comp").alias("class_hash"))
+    alone = members.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("th").alias("text_hash"), F.lit(None).cast("long").alias("class_hash"))
     C.drop(texts, links, pairs, final)
     return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def without_near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with one row of each component of ``near_duplicates`` left, with the smallest id; rows without words all stay.
+
+    Of rows that share that id, the one with the smallest hash of its text stays, and
+    of equal rows one.  All columns are kept.
+    """
+    found = near_duplicates(docs, k, num, den, id_col, text_col)
+    stay = found.where("kept and class_hash is not null").groupBy("class_hash", "doc_id").agg(F.min("text_hash").alias("_stay_hash")).select(F.col("doc_id").alias("_stay_id"), "_stay_hash")
+    words = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    rows = docs.withColumns({"_row_id": F.col(id_col).cast("long"), "_row_hash": F.xxhash64(text_col)})
+    linked = rows.where(words).join(stay, F.col("_row_id").eqNullSafe(F.col("_stay_id")) & (F.col("_row_hash") == F.col("_stay_hash")))
+    return linked.dropDuplicates(["_row_id", "_row_hash"]).select(*docs.columns).union(docs.where(~words))

@@ -175,6 +175,18 @@ def _scored(batches: Iterator[pa.RecordBatch], views: Views | None) -> Iterator[
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score)], ["doc_id", "score"])
 
 
+def without_poor(docs: DataFrame, views: Views | None, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``quality`` keeps, with all their columns."""
+    if views is None:
+        return docs
+
+    def keep(b: pa.RecordBatch) -> list[bool]:
+        x = text_features(C.text_bytes(b.column(text_col)))
+        return (views.score(x, metadata_features(*(C.column(b, c) for c in ("lang", "source", "n_chars")))) >= threshold).tolist()
+
+    return C.filter_rows(docs, keep)
+
+
 def quality(docs: DataFrame, views: Views | None, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, score (probability of good quality), kept (score >= threshold).
 

@@ -228,6 +228,16 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 12_000, keep: int =
     return Lexicon(lexicon.entries, lexicon.exceptions, (float(model.beta[1] - slope * model.mean[0]), slope))
 
 
+def without_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``toxicity`` scores below ``threshold``, with all their columns."""
+
+    def keep(b: pa.RecordBatch) -> list[bool]:
+        texts = pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64()), b.column(text_col)], ["doc_id", "text"])
+        return [x < threshold for out in _score(iter([texts]), lexicon) for x in out.column("score").to_pylist()]
+
+    return C.filter_rows(docs, keep)
+
+
 def toxicity(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_hits, score (0 to 1), predicted (1 from ``threshold`` on).
 
