@@ -2,12 +2,237 @@
 
 from __future__ import annotations
 
-FLAGSHIP = None
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def queries() -> dict:
-    return {}
+from ..functions import text as T
+from ..operators import bundles as B
+from ..operators import contract, diagnostics, evaluation, index, parsing
+from ..operators.profile import profile
+from . import corpus, engine, sql
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def token_counts(spark: SparkSession, d: str) -> DataFrame:
+    rows = corpus.table(spark, d, "documents")
+    text = F.coalesce("text", F.lit(""))
+    joined = F.array_join(T.pieces(text), "")
+    return rows.select("doc_id", T.count_tokens(text).alias("n_tokens"), (joined == text).alias("lossless"), F.length(T.truncate_tokens(text, F.lit(100))).alias("n_head"), F.length(T.tail_tokens(text, 20)).alias("n_tail"))
+
+
+def ids_and_paths(spark: SparkSession, d: str) -> DataFrame:
+    p = corpus.table(spark, d, "pages")
+    versioned = F.concat(F.lit("versioned_docs/version-4.1/"), "url")
+    return p.select(
+        "page_id", T.stable_id("document", F.col("url")).alias("document_id"), T.slug(F.col("url")).alias("slug"), T.wiki_path(F.col("url")).alias("wiki_path"), T.site_path(F.lit("Guides & More"), F.col("url"), F.col("page_id").cast("string")).alias("site_path"),
+        T.canonical_path(versioned).alias("canonical"), T.is_canonical(versioned).alias("is_canonical"), T.source_name(F.concat(F.lit("user_docs/"), "url"), F.lit("x"), F.lit(None).cast("string")).alias("source_name"), T.source_type(F.col("url"), F.lit(None).cast("string"), F.lit(None).cast("string")).alias("source_type"),
+    )
+
+
+def html_titles(spark: SparkSession, d: str) -> DataFrame:
+    p = corpus.table(spark, d, "pages")
+    return p.select("page_id", parsing.html_title(F.col("html")).alias("title"), F.regexp_extract("html", r'<html\s+lang="([^"]*)"', 1).alias("lang"))
+
+
+def html_sections(spark: SparkSession, d: str) -> DataFrame:
+    docs, sections = corpus.pages(spark, d)
+    rows = sections.join(docs.select(F.col("id").alias("document_id"), "source_path"), "document_id")
+    return rows.select("source_path", "section_order", "section_title", "heading_level", T.joined_path(F.col("heading_path")).alias("heading_path"), F.sha1("content").alias("content_hash"))
+
+
+def markdown_sections(spark: SparkSession, d: str) -> DataFrame:
+    docs, sections = corpus.conversations(spark, d)
+    rows = sections.join(docs.select(F.col("id").alias("document_id"), "source_path", "title"), "document_id")
+    return rows.select("source_path", "title", F.col("id").alias("section_id"), "section_order", "section_title", "heading_level", T.joined_path(F.col("heading_path")).alias("heading_path"), F.sha1("content").alias("content_hash"))
+
+
+def wikitext_sections(spark: SparkSession, d: str) -> DataFrame:
+    rows = corpus.table(spark, d, "conversations")
+    turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    body = F.array_join(F.transform("turns", lambda t: F.concat(F.lit("== "), t["role"], F.lit(" ==\n{{note|a {{nested}} call}}'''"), t["text"], F.lit("''' [[File:x.png]]\n"))), "")
+    pages = turns.select(F.concat(F.lit("Conversation "), F.col("conv_id").cast("string")).alias("title"), F.concat(F.lit("[[Target|Lead]]\n"), body).alias("wikitext"), F.lit(None).cast("timestamp").alias("scraped"))
+    docs, sections = parsing.wikitext(pages, "https://wiki.example.org/")
+    rows = sections.join(docs.select(F.col("id").alias("document_id"), "source_path", "source_url"), "document_id")
+    return rows.select("source_path", "source_url", "section_order", "section_title", "heading_level", T.joined_path(F.col("heading_path")).alias("heading_path"), F.sha1("content").alias("content_hash"))
+
+
+def event_properties(spark: SparkSession, d: str) -> DataFrame:
+    rows = corpus.table(spark, d, "events").withColumn("p", F.from_json("props", "k bigint"))
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("p.k").alias("k_sum"), F.count_if(F.col("p.k").isNull()).alias("without_k"))
+
+
+def chunk_rows(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.chunks(spark, d).select("id", "section_id", "chunk_order", "token_count", "start_offset", "end_offset", "prev_chunk_id", "next_chunk_id", F.col("metadata.source_path").alias("source_path"), F.sha1("content").alias("content_hash"))
+
+
+def chunk_links(spark: SparkSession, d: str) -> DataFrame:
+    docs, sections = corpus.conversations(spark, d)
+    rows = corpus.chunk(docs, sections)
+    return rows.select(F.col("metadata.source_path").alias("source_path"), "id", "chunk_order", "prev_chunk_id", "next_chunk_id", "token_count")
+
+
+def page_chunks(spark: SparkSession, d: str) -> DataFrame:
+    rows = corpus.chunk(*corpus.pages(spark, d), max_tokens=120, overlap_tokens=20)
+    return rows.select(F.col("metadata.source_path").alias("source_path"), "id", "chunk_order", "token_count", "start_offset", "end_offset", "prev_chunk_id", "next_chunk_id", "content")
+
+
+def _store(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    docs, sections = corpus.documents(spark, d)
+    return docs, sections, corpus.chunk(docs, sections)
+
+
+def stats_overview(spark: SparkSession, d: str) -> DataFrame:
+    return diagnostics.overview(*_store(spark, d))
+
+
+def stats_chunks_per_document(spark: SparkSession, d: str) -> DataFrame:
+    return diagnostics.chunks_per_document(*_store(spark, d), limit=25)
+
+
+def stats_largest_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return diagnostics.largest_chunks(*_store(spark, d), limit=25)
+
+
+def stats_small_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return diagnostics.small_chunks(*_store(spark, d), limit=25)
+
+
+def stats_duplicate_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return diagnostics.duplicate_chunks(*_store(spark, d), limit=25)
+
+
+def stats_sources(spark: SparkSession, d: str) -> DataFrame:
+    return diagnostics.source_counts(*_store(spark, d))
+
+
+def _first_path(d: str) -> str:
+    return "docs/src0/0.md"
+
+
+def inspect_document(spark: SparkSession, d: str) -> DataFrame:
+    from hashlib import sha1
+
+    out = diagnostics.inspect_document(*_store(spark, d), sha1(f"document::{_first_path(d)}".encode()).hexdigest())
+    return out.select("id", "source_path", "title", "chunk_count", "token_count", F.size("sections").alias("n_sections"))
+
+
+def inspect_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The point lookup for every chunk of one document."""
+    docs, sections, chunks = _store(spark, d)
+    mine = chunks.where(F.col("metadata.source_path") == _first_path(d))
+    return mine.select(F.col("id").alias("chunk_id"), "token_count", F.col("metadata.document_title").alias("document_title"), F.col("metadata.source_name").alias("source_name"))
+
+
+def query_profiles(spark: SparkSession, d: str) -> DataFrame:
+    p = profile(corpus.queries(spark, d))
+    return p.select("qid", "normalized", F.array_join("tokens", "|").alias("tokens"), F.array_join("expanded", "|").alias("expanded"), F.array_join("phrases", "|").alias("phrases"), "intent", "task", F.array_join("families", "|").alias("families"), F.array_join("file_hints", "|").alias("file_hints"))
+
+
+def index_postings(spark: SparkSession, d: str) -> DataFrame:
+    rows = index.postings(index.build(corpus.chunks(spark, d)))
+    return rows.groupBy("term", "field").agg(F.count("*").alias("n_chunks"), F.sum("tf").alias("tf"), F.sum(F.element_at("positions", 1)).alias("first_positions"))
+
+
+def bm25_passes(spark: SparkSession, d: str) -> DataFrame:
+    p = profile(corpus.queries(spark, d))
+    scored = index.bm25(index.build(corpus.chunks(spark, d)), index.plans(p, F.col("tokens"), F.col("expanded"), F.col("normalized")))
+    return scored.groupBy("qid", "pass").agg(F.count("*").alias("n"), F.round(F.sum("score"), 3).alias("total"), F.round(F.min("score"), 5).alias("best"))
+
+
+def _candidates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    chunks = corpus.chunks(spark, d)
+    p = profile(corpus.queries(spark, d))
+    scored = index.bm25(index.build(chunks), index.plans(p, F.col("tokens"), F.col("expanded"), F.col("normalized")))
+    return index.candidates(scored, 5), p, chunks
+
+
+def candidate_cascade(spark: SparkSession, d: str) -> DataFrame:
+    return _candidates(spark, d)[0]
+
+
+def rerank_signals(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators import rerank
+
+    c, p, chunks = _candidates(spark, d)
+    rows = rerank.signals(rerank.with_chunks(c, chunks).join(p, "qid"))
+    return rows.select("qid", "chunk_id", *(x for x in rerank.BREAKDOWN if x not in ("families", "expanded", "lexical_score", "weighted_score")), F.round("weighted_score", 3).alias("weighted_score"))
+
+
+def search_results(spark: SparkSession, d: str) -> DataFrame:
+    results, _ = engine.search(corpus.queries(spark, d), corpus.chunks(spark, d), 5)
+    return results.select("qid", "rank", "chunk_id", "source_path", "source_name", "document_title", F.round("rerank_score", 3).alias("rerank_score"), "token_count")
+
+
+def search_snippets(spark: SparkSession, d: str) -> DataFrame:
+    results, p = engine.search(corpus.queries(spark, d), corpus.chunks(spark, d), 5)
+    rows = results.join(p.select("qid", "tokens"), "qid")
+    return rows.select("qid", "rank", index.snippet(F.col("content"), F.col("tokens")).alias("snippet"))
+
+
+def context_bundles(spark: SparkSession, d: str) -> DataFrame:
+    chunks = corpus.chunks(spark, d)
+    results, p = engine.search(corpus.queries(spark, d), chunks, 5)
+    results = engine._kept(results)
+    b = B.bundles(results, p, chunks, include_previous=True, include_next=True, max_tokens=300)
+    return b.select("qid", "rank", "bundle_token_count", "selection_strategy", F.size("chunks").alias("n_chunks"), "diagnostics.within_budget", "diagnostics.truncated", "diagnostics.duplicate_chunk_count", F.sha1(F.element_at("chunks", 1)["content"]).alias("first_hash"))
+
+
+def runtime_contracts(spark: SparkSession, d: str) -> DataFrame:
+    return contract.as_json(engine.contracts(corpus.queries(spark, d), corpus.chunks(spark, d), 5, True, True))
+
+
+def contract_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Ids, summaries and key points as the contract makes them, for every chunk."""
+    c = corpus.chunks(spark, d)
+    text = contract.without_heading_lines(F.col("content"))
+    return c.select("id", contract.contract_id(F.col("metadata.source_path"), F.col("metadata.section_title"), F.lit("")).alias("contract_id"), contract.confidence(F.col("token_count")).alias("confidence"), F.sha1(text).alias("text_hash"))
+
+
+def evaluation_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    o = engine.evaluate(corpus.cases(spark, d), corpus.chunks(spark, d))
+    return o.select("case_id", "bucket", "expected_source_name", "grade", "strong_pass_top_1", "strong_pass_top_3", "strong_pass_top_5", "weak_pass_top_1", "weak_pass_top_5", "matched_result_rank", "matched_result_path", "matched_rule_type", F.array_join("matched_on", "|").alias("matched_on"), "preferred_source_rank", "failure_summary", "ranking_diagnostic")
+
+
+def evaluation_report(spark: SparkSession, d: str) -> DataFrame:
+    r = evaluation.report(engine.evaluate(corpus.cases(spark, d), corpus.chunks(spark, d)))
+    return r.select("dimension", "label", "total_queries", "strong_passes", "weak_passes", "misses", "top_1_strong_passes", "top_3_strong_passes", "top_5_strong_pass_rate", "top_5_weak_pass_rate", F.array_join("case_ids", "|").alias("case_ids"))
+
+
+def evaluation_bundles(spark: SparkSession, d: str) -> DataFrame:
+    o = engine.evaluate(corpus.cases(spark, d), corpus.chunks(spark, d), with_bundles=True)
+    return o.select("case_id", "grade", "bundle_grade", "bundle_token_count", "bundle_chunk_count", "bundle_selection_strategy", "bundle_within_budget", "bundle_matched_path", "bundle_source_coherent", "bundle_diagnostic")
+
+
+def evaluation_confusions(spark: SparkSession, d: str) -> DataFrame:
+    o = evaluation.source_confusions(engine.evaluate(corpus.cases(spark, d), corpus.chunks(spark, d)))
+    return o.select("case_id", "expected_source_name", "matched_result_source_name", "grade")
+
+
+def evaluation_baseline(spark: SparkSession, d: str) -> DataFrame:
+    """The run on all sources against the run on all but one."""
+    chunks, cases = corpus.chunks(spark, d), corpus.cases(spark, d)
+    now, base = (evaluation.report(engine.evaluate(cases, c)) for c in (chunks, chunks.where("not metadata.source_name <=> 'src0'")))
+    return evaluation.comparison(now, base).unionByName(evaluation.metric_deltas(now, base).where("delta <> 0").select("dimension", "label", "metric_family", F.concat_ws("=", "metric", F.round("delta", 6).cast("string")).alias("status")))
+
+
+def evaluation_verdict(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.validation_status(evaluation.report(engine.evaluate(corpus.cases(spark, d), corpus.chunks(spark, d), with_bundles=True)))
+
+
+FLAGSHIP: Query = search_results
+_ALL = (
+    token_counts, ids_and_paths, html_titles, html_sections, markdown_sections, wikitext_sections, event_properties, chunk_rows, chunk_links, page_chunks, stats_overview, stats_chunks_per_document, stats_largest_chunks, stats_small_chunks,
+    stats_duplicate_chunks, stats_sources, inspect_document, inspect_chunks, query_profiles, index_postings, bm25_passes, candidate_cascade, rerank_signals, search_results, search_snippets, context_bundles, runtime_contracts, contract_parts,
+    evaluation_outcomes, evaluation_report, evaluation_bundles, evaluation_confusions, evaluation_baseline, evaluation_verdict,
+)
+
+
+def queries() -> dict[str, Query]:
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.twins()
