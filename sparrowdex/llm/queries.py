@@ -17,6 +17,7 @@ from .mixing import mix
 from .near_duplicates import near_duplicates
 from .packing import pack
 from .sharding import shard
+from .sql import ORACLE_SQL  # noqa: F401
 from .token_counts import token_counts
 
 
@@ -41,7 +42,7 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan(C.read(spark, sf_dir, "documents"))
+    return license_scan(C.read(spark, sf_dir, "documents")).drop("spans")
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,4 +81,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing_sources": op9_mixing_sources,
     "op10_token_counts": op10_token_counts,
 }
-ORACLE_SQL: dict[str, str] = {}
