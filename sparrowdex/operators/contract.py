@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..plans import default_rules as D
+from .wording import CONTRACT, say
 
 VERSION = "v1"
 _STRINGS = "array<string>"
@@ -58,10 +59,10 @@ def results(bundles: DataFrame, profiles: DataFrame, rules=D) -> DataFrame:
     where = F.when(F.size("heading_path") > 0, heading).otherwise(F.coalesce(F.nullif("section_title", F.lit("")), F.col("document_title")))
     place = F.when(F.size("heading_path") > 0, heading).otherwise(F.col("document_title"))
     leads = points(without_heading_lines(F.element_at("chunks", 1)["content"]))
-    title = F.concat(F.col("document_title"), F.lit(" — "), place)
-    summary = F.when(F.size(leads) > 0, F.concat(title, F.lit(": "), F.element_at(leads, 1))).otherwise(title)
+    title = F.col("document_title")
+    summary = F.when(F.size(leads) > 0, say(CONTRACT["summary"], title=title, place=place, point=F.get(leads, F.lit(0)))).otherwise(say(CONTRACT["title"], title=title, place=place))
     reason = F.col("diagnostics.support_reason")
-    explained = F.concat(F.lit("Rank "), F.col("rank").cast("string"), F.lit(" "), F.coalesce("source_name", F.lit("unknown-source")), F.lit(" bundle from "), where, F.lit("."), F.coalesce(F.concat(F.lit(" Added support for "), reason, F.lit(".")), F.lit("")))
+    explained = F.concat(say(CONTRACT["ranking"], rank=F.col("rank"), source=F.coalesce("source_name", F.lit("unknown-source")), place=where), F.coalesce(say(CONTRACT["support"], reason=reason), F.lit("")))
     section = lambda c: F.struct(
         c["chunk_id"].alias("id"), c["role"].alias("role"), F.col("document_title"), c["source_path"].alias("source_path"), c["source_url"].alias("source_url"), c["canonical_url"].alias("canonical_url"),
         c["section_title"].alias("section_title"), F.coalesce(c["heading_path"], F.array().cast(_STRINGS)).alias("heading_path"), c["token_count"].alias("token_count"), c["content"].alias("content"),

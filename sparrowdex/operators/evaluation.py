@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .wording import BUNDLES, FAILURES, MISS, RANKINGS, STRONG, WEAK, say
 
-STRONG, WEAK, MISS = "STRONG PASS", "WEAK PASS", "MISS"
 CASE = """id string, query string, bucket string, query_style string, concept_id string, description string, preferred_source_names array<string>, acceptable_source_names array<string>,
  preferred_document_paths array<string>, acceptable_document_paths array<string>, preferred_heading_substrings array<string>, acceptable_heading_substrings array<string>, disallowed_document_paths array<string>,
  preferred_bundle_paths array<string>, preferred_bundle_source_names array<string>, acceptable_bundle_source_names array<string>, preferred_heading_substrings_for_bundle array<string>,
@@ -93,19 +93,20 @@ def grade_bundles(cases: DataFrame, graded: DataFrame, bundles: DataFrame, budge
     bad = F.col("b").isNull() | (F.col("grade") == MISS) | ~none("missing") | F.col("far_over") | (~none("want") & none("m_want") & none("m_accept"))
     partial = (~none("paths") & none("matched_paths")) | (~F.col("allow_mixed_bundle_sources") & ~F.col("coherent")) | (~none("want") & none("m_want")) | F.col("thin") | F.col("cut") | (F.col("redundant") > 0) | ~F.col("in_budget") | (~none("headings") & none("seen"))
     comma = lambda c: F.array_join(c, ", ")
+    primary = F.coalesce("b.source_name", F.get("names", F.lit(0)))
+    tell = lambda test, key, **values: F.when(test, say(BUNDLES[key], **values))
     said = F.filter(
         F.array(
-            F.when(~none("matched_paths"), "bundle path matched preferred target").when(~none("paths"), "bundle path did not match preferred target"), F.concat(F.lit("bundle primary source: "), F.coalesce("b.source_name", F.get("names", F.lit(0)))),
-            F.when(~none("want") & ~none("m_want"), F.concat(F.lit("bundle source matched preferred source: "), comma("m_want"))).when(~none("want"), "bundle source did not match preferred source").when(~none("accept") & ~none("m_accept"), F.concat(F.lit("bundle source matched acceptable source: "), comma("m_accept"))),
-            F.when(~F.col("allow_mixed_bundle_sources") & ~F.col("coherent"), F.concat(F.lit("bundle mixed sources: "), comma("names"))), F.when(~none("present"), F.concat(F.lit("required headings present: "), comma("present"))), F.when(~none("missing"), F.concat(F.lit("missing required headings: "), comma("missing"))),
-            F.when(~F.col("in_budget"), F.concat(F.lit("bundle exceeded token budget ("), F.col("n").cast("string"), F.lit(">"), F.col("budget").cast("string"), F.lit(")"))), F.when(F.col("redundant") > 0, F.concat(F.lit("bundle contains "), F.col("redundant").cast("string"), F.lit(" duplicate chunk(s)"))),
-            F.when(F.col("thin"), "bundle is very small"), F.when(F.col("cut"), "bundle was truncated to fit the budget"),
+            tell(~none("matched_paths"), "path").when(~none("paths"), BUNDLES["no_path"]), say(BUNDLES["primary"], source=primary),
+            tell(~none("want") & ~none("m_want"), "preferred", sources=comma("m_want")).when(~none("want"), BUNDLES["not_preferred"]).when(~none("accept") & ~none("m_accept"), say(BUNDLES["acceptable"], sources=comma("m_accept"))),
+            tell(~F.col("allow_mixed_bundle_sources") & ~F.col("coherent"), "mixed", sources=comma("names")), tell(~none("present"), "present", headings=comma("present")), tell(~none("missing"), "missing", headings=comma("missing")),
+            tell(~F.col("in_budget"), "over", n=F.col("n"), budget=F.col("budget")), tell(F.col("redundant") > 0, "redundant", n=F.col("redundant")), tell(F.col("thin"), "small"), tell(F.col("cut"), "cut"),
         ),
         lambda x: x.isNotNull(),
     )
-    diagnostic = F.when(F.col("b").isNull(), "no context bundle was produced").when(F.size(said) == 0, "bundle contained the primary section within budget").otherwise(F.array_join(said, "; "))
+    diagnostic = F.when(F.col("b").isNull(), BUNDLES["absent"]).when(F.size(said) == 0, BUNDLES["fine"]).otherwise(F.array_join(said, "; "))
     return rows.select(
-        "case_id", F.when(bad, "INSUFFICIENT").when(partial, "PARTIAL").otherwise("COMPLETE").alias("bundle_grade"), F.col("b.source_path").alias("bundle_path"), F.coalesce("b.source_name", F.get("names", F.lit(0))).alias("bundle_source_name"), F.coalesce("names", F.array().cast("array<string>")).alias("bundle_source_names"),
+        "case_id", F.when(bad, "INSUFFICIENT").when(partial, "PARTIAL").otherwise("COMPLETE").alias("bundle_grade"), F.col("b.source_path").alias("bundle_path"), primary.alias("bundle_source_name"), F.coalesce("names", F.array().cast("array<string>")).alias("bundle_source_names"),
         F.when(F.col("b").isNotNull(), F.col("coherent")).alias("bundle_source_coherent"), F.col("n").alias("bundle_token_count"), F.when(F.col("b").isNotNull(), F.size("b.chunks")).alias("bundle_chunk_count"), F.col("b.selection_strategy").alias("bundle_selection_strategy"),
         F.when(F.col("b").isNotNull(), F.col("in_budget")).alias("bundle_within_budget"), F.when(F.col("b").isNotNull(), ~none("matched_paths")).alias("bundle_matched_path"), F.col("present").alias("bundle_required_headings_present"), F.col("missing").alias("bundle_required_headings_missing"), diagnostic.alias("bundle_diagnostic"),
     )
@@ -131,21 +132,18 @@ def outcomes(cases: DataFrame, results: DataFrame, bundles: DataFrame | None = N
     text = F.col("top.content")
     wrapped = F.contains(text, F.lit("import ")) | (F.contains(text, F.lit("<")) & F.contains(text, F.lit("/>")))
     failed = (
-        F.when(F.col("n") == 0, "No retrieval results returned").when(wrong, F.concat(F.lit("Top result came from the wrong source ("), F.col("top.source_name"), F.lit(") for this query")))
-        .when(path.startswith("versioned_docs/"), F.concat(F.lit("Top result was versioned duplicate noise: "), path)).when(wrapped, F.concat(F.lit("Top result appears dominated by MDX wrapper content: "), path))
-        .when(F.exists("disallowed_document_paths", lambda p: F.contains(F.lower(path), F.lower(p))), F.concat(F.lit("Top result came from an explicitly disallowed path: "), path))
-        .when(F.size("preferred_document_paths") + F.size("acceptable_document_paths") > 0, F.concat(F.lit("Wrong chunk surfaced for the query; none of the preferred or acceptable paths matched within top "), F.col("n").cast("string")))
-        .otherwise("Weak lexical match; no preferred or acceptable target matched")
+        F.when(F.col("n") == 0, FAILURES["nothing"]).when(wrong, say(FAILURES["source"], source=F.col("top.source_name"))).when(path.startswith("versioned_docs/"), say(FAILURES["versioned"], path=path))
+        .when(wrapped, say(FAILURES["wrapper"], path=path)).when(F.exists("disallowed_document_paths", lambda p: F.contains(F.lower(path), F.lower(p))), say(FAILURES["disallowed"], path=path))
+        .when(F.size("preferred_document_paths") + F.size("acceptable_document_paths") > 0, say(FAILURES["paths"], n=F.col("n"))).otherwise(FAILURES["weak"])
     )
     first = F.get("preferred_source_names", F.lit(0))
     astray = want & (F.col("n") > 0) & ~F.coalesce(F.array_contains("preferred_source_names", F.col("top.source_name")), F.lit(False))
     rank = F.col("hit.rank")
+    top = F.coalesce("top.source_name", F.lit("None"))
     ranking = (
-        F.when(astray & preferred_rank.isNotNull(), F.concat(F.lit("Preferred source "), first, F.lit(" was present at rank "), preferred_rank.cast("string"), F.lit(", but rank 1 came from "), F.coalesce("top.source_name", F.lit("None")), F.lit(". This is a source-selection issue, not a recall issue.")))
-        .when(astray, F.concat(F.lit("Top result came from "), F.coalesce("top.source_name", F.lit("None")), F.lit(", but the preferred source is "), first, F.lit(".")))
-        .when(F.col("strong").isNotNull() & (F.col("strong.rank") > 1), F.concat(F.lit("Preferred result was retrieved at rank "), F.col("strong.rank").cast("string"), F.lit("; top-1 ranking still needs improvement.")))
-        .when((grade == MISS) & (F.col("n") > 0), "No preferred or acceptable target matched in the retrieved set; inspect top lexical hits for query drift.").when(grade == MISS, "No candidates were retrieved.")
-        .when(rank > 1, F.concat(F.lit("Correct target was retrieved at rank "), rank.cast("string"), F.lit(", so ranking headroom remains.")))
+        F.when(astray & preferred_rank.isNotNull(), say(RANKINGS["source_later"], source=first, rank=preferred_rank, top=top)).when(astray, say(RANKINGS["source_absent"], top=top, source=first))
+        .when(F.col("strong").isNotNull() & (F.col("strong.rank") > 1), say(RANKINGS["preferred_later"], rank=F.col("strong.rank"))).when((grade == MISS) & (F.col("n") > 0), RANKINGS["no_match"])
+        .when(grade == MISS, RANKINGS["no_candidates"]).when(rank > 1, say(RANKINGS["later"], rank=rank))
     )
     flags = [F.coalesce((grade == g) & (rank <= k), F.lit(False)).alias(f"{name}_pass_top_{k}") for g, name in ((STRONG, "strong"), (WEAK, "weak")) for k in (1, 3, 5)]
     out = rows.select(
