@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, drop
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``edges`` (a, b longs) -> (node, comp): the smallest node of each component.
+def _ranked(node: Column) -> Column:
+    """Nodes in an order that has nothing to do with their numbers, so that no long run of neighbours is in order."""
+    return F.struct(F.xxhash64(node).alias("h"), node.alias("n"))
 
-    Every round hooks each node to its smallest neighbour, follows that hook twice,
-    and contracts the edges; at most half of the nodes that still have an edge
+
+def components(edges: DataFrame, smallest: bool = True) -> DataFrame:
+    """``edges`` (a, b longs) -> (node, comp): the smallest node of each component, or with ``smallest`` off any one.
+
+    Every round hooks each node to its first neighbour in a hashed order, follows that
+    hook twice, and contracts the edges; at most half of the nodes that still have an edge
     survive as local minima, so rounds grow with the logarithm of the input.  Null
     ends and loops are ignored; repeated edges count once.  An empty table gives an
     empty result.  All sums of a hot node are combined before the shuffle.
@@ -23,7 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
     label = cut(nodes.select("node", F.col("node").alias("comp")), "labels")
     while not e.isEmpty():
         both = e.union(e.select("b", "a")).toDF("v", "u")
-        hook = both.groupBy("v").agg(F.least(F.col("v"), F.min("u")).alias("p"))
+        hook = both.groupBy("v").agg(F.least(_ranked(F.col("v")), F.min(_ranked(F.col("u"))))["n"].alias("p"))
         up = hook.select(F.col("v").alias("p"), F.col("p").alias("q"))
         hook = cut(hook.join(up, "p").select("v", F.col("q").alias("p")), "hooks")
         to = lambda df, col: df.join(hook.withColumnsRenamed({"v": col, "p": f"new_{col}"}), col, "left").withColumn(col, F.coalesce(f"new_{col}", col)).drop(f"new_{col}")
@@ -32,4 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
         e = cut(to(to(e, "a"), "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
         drop(old_label, old_e, hook)
     drop(e)
+    if smallest:
+        low = label.groupBy("comp").agg(F.min("node").alias("low"))
+        label = label.join(low, "comp").select("node", F.col("low").alias("comp"))
     return label

@@ -207,7 +207,7 @@ def embedding_near_duplicates(vectors: DataFrame, cosine: float = 0.98, tables:
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     found = C.cut(rows.mapInArrow(lambda it: _verified(it, cosine, tables, width), "a long, b long, n long"), "found")
     links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
-    label = components(found.where("b is not null").select("a", "b"))
+    label = components(found.where("b is not null").select("a", "b"), smallest=False)
     named = nodes.select("node", "m", "least").join(label, "node", "left").join(links, "node", "left")
     named = C.cut(named.select("node", "least", F.coalesce("comp", "node").alias("comp"), (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links")), "named")
     low = named.groupBy("comp").agg(F.min("least").alias("component_id"))

@@ -89,6 +89,8 @@ def calibrate(weight: np.ndarray, tokens: np.ndarray, budget: float) -> np.ndarr
 
 def cell_probabilities(cells: list[tuple[str, str, str, int, int]], targets: Targets) -> list[tuple[str, str, str, float, float]]:
     """(source, language, topic, weight, probability) of cells given as (source, language, topic, tokens, documents)."""
+    if not cells:
+        return []
     cells = sorted(cells)
     tokens = np.array([c[3] for c in cells], float)
     total = tokens.sum()

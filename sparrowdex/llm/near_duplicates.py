@@ -300,11 +300,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     chain = chain.join(sigs.toDF("a", "sig_a"), "a").join(sigs.toDF("b", "sig_b"), "b")
     chain = C.cut(chain.mapInArrow(lambda it: _estimated(it, least), "a long, b long, est int"), "chain")
     links = C.cut(confirmed(best(chain, ["a"]).union(best(chain, ["b"])).distinct()), "links")
-    label = components(links)
+    label = components(links, smallest=False)
     links_2 = C.cut(confirmed(across(chain, label)), "links")
     old = label
     links = C.cut(links.union(links_2).distinct(), "links")
-    label = components(links)
+    label = components(links, smallest=False)
     C.drop(old, chain, links_2)
 
     # keys whose nodes are not in one component yet
@@ -327,7 +327,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     task = task.union(pairs.select("ga", "gb", F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(None).cast("string"), "pairs"))
     task = task.repartition("ga", "gb").sortWithinPartitions("ga", "gb")
     links_3 = task.mapInArrow(lambda it: _settle(it, k, num, den), "a long, b long")
-    final = components(links.union(links_3))
+    final = components(links.union(links_3), smallest=False)
     C.drop(label, marked, posts, sigs, home)
 
     members = base.select("doc_id", "th", "n_shingles", "node")
