@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,9 +15,15 @@ from . import default_rules as D
 from .store import Store
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Results that several joins read: a few rows a query, held by the executors and made again if one is lost."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+def kept(df: DataFrame) -> DataFrame:
+    """A checkpoint of what several joins read: computed once, short in plan, and safe from lost executors.
+
+    It lies in the cluster's ``spark.checkpoint.dir``, or in a temporary folder where none is set (tests).
+    """
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sparrowdex-"))
+    return df.checkpoint()
 
 
 def search(queries: DataFrame, chunks: DataFrame, top_k: int = 5, ix: index.Index | None = None, rules=D) -> tuple[DataFrame, DataFrame]:
@@ -33,7 +40,7 @@ def search(queries: DataFrame, chunks: DataFrame, top_k: int = 5, ix: index.Inde
 
 def contracts(queries: DataFrame, chunks: DataFrame, top_k: int = 5, include_previous: bool = False, include_next: bool = False, max_tokens: int = 600, rules=D) -> DataFrame:
     results, profiles = search(queries, chunks, top_k, rules=rules)
-    results = _kept(results)
+    results, profiles = kept(results), kept(profiles)
     return contract.envelopes(B.bundles(results, profiles, chunks, include_previous, include_next, max_tokens, rules), profiles, top_k, rules=rules)
 
 
@@ -42,7 +49,7 @@ def evaluate(cases: DataFrame, chunks: DataFrame, with_bundles: bool = False, bu
     cases = evaluation.with_defaults(cases)
     queries = cases.select(F.col("id").alias("qid"), F.col("query").alias("raw_query"), F.greatest("top_k", F.lit(5)).alias("top_k"))
     results, profiles = search(queries, chunks, rules=rules)
-    results = _kept(results)
+    results, profiles = kept(results), kept(profiles)
     made = B.bundles(results, profiles, chunks, max_tokens=budget, rules=rules).where("rank = 1") if with_bundles else None
     return evaluation.outcomes(cases, results, made, budget)
 

@@ -173,15 +173,14 @@ def search_snippets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def context_bundles(spark: SparkSession, d: str) -> DataFrame:
-    chunks = corpus.chunks(spark, d)
-    results, p = engine.search(corpus.queries(spark, d), chunks, 5)
-    results = engine._kept(results)
+    chunks = engine.kept(corpus.chunks(spark, d))
+    results, p = map(engine.kept, engine.search(corpus.queries(spark, d), chunks, 5))
     b = B.bundles(results, p, chunks, include_previous=True, include_next=True, max_tokens=300)
     return b.select("qid", "rank", "bundle_token_count", "selection_strategy", F.size("chunks").alias("n_chunks"), "diagnostics.within_budget", "diagnostics.truncated", "diagnostics.duplicate_chunk_count", F.sha1(F.element_at("chunks", 1)["content"]).alias("first_hash"))
 
 
 def runtime_contracts(spark: SparkSession, d: str) -> DataFrame:
-    return contract.as_json(engine.contracts(corpus.queries(spark, d), corpus.chunks(spark, d), 5, True, True))
+    return contract.as_json(engine.contracts(corpus.queries(spark, d), engine.kept(corpus.chunks(spark, d)), 5, True, True))
 
 
 def contract_parts(spark: SparkSession, d: str) -> DataFrame:
@@ -202,7 +201,7 @@ def evaluation_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def evaluation_bundles(spark: SparkSession, d: str) -> DataFrame:
-    o = engine.evaluate(corpus.cases(spark, d), corpus.chunks(spark, d), with_bundles=True)
+    o = engine.evaluate(corpus.cases(spark, d), engine.kept(corpus.chunks(spark, d)), with_bundles=True)
     return o.select("case_id", "grade", "bundle_grade", "bundle_token_count", "bundle_chunk_count", "bundle_selection_strategy", "bundle_within_budget", "bundle_matched_path", "bundle_source_coherent", "bundle_diagnostic")
 
 
@@ -213,13 +212,13 @@ def evaluation_confusions(spark: SparkSession, d: str) -> DataFrame:
 
 def evaluation_baseline(spark: SparkSession, d: str) -> DataFrame:
     """The run on all sources against the run on all but one."""
-    chunks, cases = corpus.chunks(spark, d), corpus.cases(spark, d)
+    chunks, cases = engine.kept(corpus.chunks(spark, d)), corpus.cases(spark, d)
     now, base = (evaluation.report(engine.evaluate(cases, c)) for c in (chunks, chunks.where("not metadata.source_name <=> 'src0'")))
     return evaluation.comparison(now, base).unionByName(evaluation.metric_deltas(now, base).where("delta <> 0").select("dimension", "label", "metric_family", F.concat_ws("=", "metric", F.round("delta", 6).cast("string")).alias("status")))
 
 
 def evaluation_verdict(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.validation_status(evaluation.report(engine.evaluate(corpus.cases(spark, d), corpus.chunks(spark, d), with_bundles=True)))
+    return evaluation.validation_status(evaluation.report(engine.evaluate(corpus.cases(spark, d), engine.kept(corpus.chunks(spark, d)), with_bundles=True)))
 
 
 FLAGSHIP: Query = search_results

@@ -12,9 +12,28 @@ from ..operators import evaluation as E
 SUFFIXES = ("md", "markdown", "mdx")
 
 
+def _underscored(spark: SparkSession, root: str) -> list[str]:
+    """Folders below ``root`` whose name begins with an underscore, which Spark's listing would pass over; none in folders that begin with a dot."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    out, open_ = [], [top]
+    while open_:
+        for status in fs.listStatus(open_.pop()):
+            name = status.getPath().getName()
+            if status.isDirectory() and not name.startswith("."):
+                open_.append(status.getPath())
+                if name.startswith("_"):
+                    out.append(status.getPath().toString())
+    return out
+
+
 def markdown_tree(spark: SparkSession, root: str) -> DataFrame:
-    """(source_path, raw, modified) of the markdown files below ``root``, by their path within it; nothing in folders whose name begins with a dot."""
-    files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(root)
+    """(source_path, raw, modified) of the markdown files below ``root``, by their path within it; nothing in folders whose name begins with a dot.
+
+    The driver lists folders, executors read the files.  Files whose own name begins with a dot or an underscore are not
+    read, as Spark's readers take them for hidden.
+    """
+    files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).load([root, *_underscored(spark, root)])
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     rows = files.select(F.regexp_replace(path, r"^[a-z0-9]+:/+", "/").alias("path"), F.col("value").alias("raw"), F.col("_metadata.file_modification_time").alias("modified"))
     base = root.split("://", 1)[-1].rstrip("/") + "/"

@@ -175,11 +175,11 @@ def test_missing_payloads_are_errors(spark):
 
 
 def test_markdown_tree(spark, tmp_path):
-    for p in ("a.md", "sub dir/b.MDX", "sub/c.markdown", ".git/d.md", "sub/.hidden/e.md", "f.txt", ".dot.md"):
+    for p in ("a.md", "sub dir/b.MDX", "sub/c.markdown", ".git/d.md", "sub/.hidden/e.md", "f.txt", ".dot.md", "_files/g.md", "sub/_files/deep/_more/h.md", ".git/_x/i.md"):
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / p).write_text(f"# {p}\n\ntext\n")
     rows = S.markdown_tree(spark, str(tmp_path)).collect()
-    assert {r.source_path: r.raw for r in rows} == {p: f"# {p}\n\ntext\n" for p in ("a.md", "sub dir/b.MDX", "sub/c.markdown", ".dot.md")}
+    assert {r.source_path: r.raw for r in rows} == {p: f"# {p}\n\ntext\n" for p in ("a.md", "sub dir/b.MDX", "sub/c.markdown", "_files/g.md", "sub/_files/deep/_more/h.md")}
 
 
 def test_eval_cases_and_artifacts(spark, tmp_path):
