@@ -143,3 +143,10 @@ def mix(docs: DataFrame, targets: Targets = Targets(), id_col: str = "doc_id", t
     rows = rows.drop("mix_weight", "mix_probability", "mix_sampled")
     out = rows.join(F.broadcast(table), ["mix_source", "mix_language", "mix_topic"])
     return out.withColumn("mix_sampled", F.col("mix_u") < F.col("mix_probability"))
+
+
+def sampled(docs: DataFrame, targets: Targets = Targets(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``mix`` samples, with all their columns, those of mix_ names too."""
+    aside = {c: f"own_{c}" for c in docs.columns if c.startswith("mix_")}
+    rows = mix(docs.withColumnsRenamed(aside), targets, id_col, text_col).where("mix_sampled")
+    return rows.select(*(F.col(aside.get(c, c)).alias(c) for c in docs.columns))

@@ -50,3 +50,17 @@ def test_each_stage_does_its_part_of_the_work(spark):
 def test_every_operator_has_its_query():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
     assert set(ORACLE_SQL) <= set(QUERIES)
+
+
+def test_stages_on_edges(spark, edge, nothing):
+    for name, stage in corpus_pipeline.STAGES:
+        for docs in (edge, nothing):
+            out = stage(spark, docs, SF)
+            n = out.count()
+            if name == corpus_pipeline.STAGES[-1][0]:
+                assert n >= docs.count()
+            else:
+                assert out.columns == docs.columns
+                assert n <= docs.count()
+                assert out.schema == docs.schema
+                assert out.exceptAll(docs).count() == 0
