@@ -23,9 +23,14 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: short lineage that survives lost executors."""
+def cut(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: short lineage that survives lost executors.
+
+    Where at most ``rows`` narrow rows are known to come, small partitions are joined, so that no swarm of tiny files is written.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(8, -(-rows // 100_000)))
     path = f"{shared_dir(spark)}/sparrowdex/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -24,17 +24,18 @@ def components(edges: DataFrame, smallest: bool = True) -> DataFrame:
     """
     e = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
     e = cut(e.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    n = 2 * e.count()  # neither nodes nor edges grow beyond it
     nodes = e.select(F.col("a").alias("node")).union(e.select(F.col("b").alias("node"))).distinct()
-    label = cut(nodes.select("node", F.col("node").alias("comp")), "labels")
+    label = cut(nodes.select("node", F.col("node").alias("comp")), "labels", n)
     while not e.isEmpty():
         both = e.union(e.select("b", "a")).toDF("v", "u")
         hook = both.groupBy("v").agg(F.least(_ranked(F.col("v")), F.min(_ranked(F.col("u"))))["n"].alias("p"))
         up = hook.select(F.col("v").alias("p"), F.col("p").alias("q"))
-        hook = cut(hook.join(up, "p").select("v", F.col("q").alias("p")), "hooks")
+        hook = cut(hook.join(up, "p").select("v", F.col("q").alias("p")), "hooks", n)
         to = lambda df, col: df.join(hook.withColumnsRenamed({"v": col, "p": f"new_{col}"}), col, "left").withColumn(col, F.coalesce(f"new_{col}", col)).drop(f"new_{col}")
         old_label, old_e = label, e
-        label = cut(to(label, "comp").select("node", "comp"), "labels")
-        e = cut(to(to(e, "a"), "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        label = cut(to(label, "comp").select("node", "comp"), "labels", n)
+        e = cut(to(to(e, "a"), "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges", n)
         drop(old_label, old_e, hook)
     drop(e)
     if smallest:
