@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import subprocess
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,3 +110,14 @@ def report_artifact(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.json(path, multiLine=True)
     at = F.col("eval.outcomes") if "eval" in rows.columns else F.col("outcomes")
     return rows.select(F.explode(at).alias("o")).select("o.*")
+
+
+def worktree(path: str) -> dict:
+    """State of a local checkout: is_git_repo, clean, status_lines and commit (null outside a repository)."""
+    run = lambda *args: subprocess.run(["git", "-C", path, *args], capture_output=True, text=True)
+    status = run("status", "--porcelain")
+    if status.returncode:
+        return {"is_git_repo": False, "clean": None, "status_lines": [], "commit": None}
+    head = run("rev-parse", "HEAD")
+    lines = status.stdout.splitlines()
+    return {"is_git_repo": True, "clean": not lines, "status_lines": lines, "commit": None if head.returncode else head.stdout.strip()}
