@@ -75,7 +75,7 @@ def chunk_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_chunks(spark: SparkSession, d: str) -> DataFrame:
-    rows = corpus.chunk(*corpus.pages(spark, d), max_tokens=120, overlap_tokens=20)
+    rows = corpus.chunk(*corpus.pages(spark, d), max_tokens=120, overlap_tokens=20, split_long=True)
     return rows.select(F.col("metadata.source_path").alias("source_path"), "id", "chunk_order", "token_count", "start_offset", "end_offset", "prev_chunk_id", "next_chunk_id", "content")
 
 

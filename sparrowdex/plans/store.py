@@ -75,6 +75,6 @@ class Store:
         fs.rename(temp, target)
 
 
-def ingest(store: Store, documents: DataFrame, sections: DataFrame, max_tokens: int = 400, overlap_tokens: int = 60, append: bool = False, tokenizer: str = "regex") -> dict[str, int]:
-    """Chunk parsed documents and write them to the store."""
-    return store.write(documents, sections, chunk(documents, sections, max_tokens, overlap_tokens, tokenizer), append)
+def ingest(store: Store, documents: DataFrame, sections: DataFrame, max_tokens: int = 400, overlap_tokens: int = 60, append: bool = False, tokenizer: str = "regex", split_long: bool = True) -> dict[str, int]:
+    """Chunk parsed documents, long paragraphs whole unless ``split_long`` is false, and write them to the store."""
+    return store.write(documents, sections, chunk(documents, sections, max_tokens, overlap_tokens, tokenizer, split_long), append)
