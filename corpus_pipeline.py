@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from sparrowdex.llm import common as C
 from sparrowdex.llm import quality, toxicity
-from sparrowdex.llm.mixing import sampled
+from sparrowdex.llm.mixing import Targets, sampled
 from sparrowdex.llm.near_duplicates import without_near_duplicates
 from sparrowdex.llm.packing import pack
 from sparrowdex.llm.queries import training_labels
@@ -31,7 +31,7 @@ def distinct(spark, docs, sf_dir):
 
 def mixed(spark, docs, sf_dir):
     """Documents sampled to the target weights of sources, languages and topics."""
-    return sampled(docs)
+    return sampled(docs, Targets(hashed=False))
 
 
 def packed(spark, docs, sf_dir):

@@ -14,9 +14,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common as C
+
 AXES = ("source", "language", "topic")
 TOPICS = ("code", "license", "link", "contact", "prose")
 STRATA = 256
+KEYS = ["mix_source", "mix_language", "mix_topic"]
+#: Cells that are raked on the driver at most; more are raked in Spark, to the same weights.
+DRIVER_CELLS = 200_000
 
 
 def topic_of(text: Column) -> Column:
@@ -36,8 +41,13 @@ def token_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def stratum(value: Column, named: list[str]) -> Column:
-    """The value if a target names it; other values share ``STRATA`` strata by their hash, and null has one."""
+def stratum(value: Column, named: list[str], hashed: bool = True) -> Column:
+    """The value if a target names it; other values share ``STRATA`` strata by their hash, and null has one.
+
+    Not ``hashed``: each value is a stratum of its own, with another # before one that begins with #.
+    """
+    if not hashed:
+        return F.when(value.isNull(), F.lit("#null")).when(F.startswith(value, F.lit("#")), F.concat(F.lit("#"), value)).otherwise(value)
     other = F.concat(F.lit("#"), F.pmod(F.crc32(value.cast("binary")), F.lit(STRATA)).cast("string"))
     return F.when(value.isNull(), F.lit("#null")).when(value.isin(named), value).otherwise(other) if named else F.when(value.isNull(), F.lit("#null")).otherwise(other)
 
@@ -48,7 +58,8 @@ class Targets:
 
     A stratum without a weight gets its share of tokens to the power ``flat`` of its
     axis, so that 1 keeps the shares and less lifts the small ones.  ``budget`` is the
-    share of all tokens to sample.
+    share of all tokens to sample.  With ``hashed``, values without a weight share
+    strata by hash; without it each value is its own stratum.
     """
 
     weights: dict[str, dict[str, float]] = field(default_factory=dict)
@@ -56,6 +67,7 @@ class Targets:
     budget: float = 0.7
     rounds: int = 100
     tolerance: float = 1e-9
+    hashed: bool = True
 
 
 def rake(index: np.ndarray, tokens: np.ndarray, marginals: list[np.ndarray], rounds: int = 100, tolerance: float = 1e-9) -> np.ndarray:
@@ -95,7 +107,8 @@ def cell_probabilities(cells: list[tuple[str, str, str, int, int]], targets: Tar
     tokens = np.array([c[3] for c in cells], float)
     total = tokens.sum()
     names = [sorted({c[a] for c in cells}) for a in range(3)]
-    index = np.array([[names[a].index(c[a]) for a in range(3)] for c in cells], np.int64).reshape(-1, 3)
+    at = [{n: i for i, n in enumerate(x)} for x in names]
+    index = np.array([[at[a][c[a]] for a in range(3)] for c in cells], np.int64).reshape(-1, 3)
     marginals = []
     for a, axis in enumerate(AXES):
         have = np.bincount(index[:, a], weights=tokens, minlength=len(names[a])) / max(total, 1)
@@ -109,6 +122,60 @@ def cell_probabilities(cells: list[tuple[str, str, str, int, int]], targets: Tar
     return [(*c[:3], float(s), float(q)) for c, s, q in zip(cells, share, p, strict=True)]
 
 
+def _scale_for(rows: DataFrame, budget: float) -> float:
+    """``calibrate``'s factor for a table of tokens t and weights w, many factors tried in each pass."""
+
+    def sampled(factors: list[float]) -> list[float]:
+        rate = F.when(F.col("t") > 0, F.col("w") / F.col("t")).otherwise(0.0)
+        return list(rows.agg(*(F.sum(F.least(F.lit(1.0), F.lit(c) * rate) * F.col("t")).alias(f"c{i}") for i, c in enumerate(factors))).head())
+
+    powers = [2.0**k for k in range(61)]
+    high = next((c for c, t in zip(powers, sampled(powers), strict=True) if t >= budget), powers[-1])
+    low = 0.0
+    for _ in range(10):
+        factors = np.linspace(low, high, 65).tolist()
+        over = next((i for i, t in enumerate(sampled(factors[:-1])) if t >= budget), 64)
+        low, high = factors[max(over - 1, 0)], factors[over]
+    return high
+
+
+def raked_table(cells: DataFrame, targets: Targets) -> DataFrame:
+    """``cell_probabilities`` of a table of cells (KEYS, t tokens), in Spark for any number of them."""
+    total = cells.agg(F.sum("t")).head()[0]
+    wants = []
+    for axis, key, flat in zip(AXES, KEYS, targets.flat, strict=True):
+        have = F.col("t") / float(max(total, 1))
+        given = targets.weights.get(axis, {})
+        want = F.pow(have, F.lit(flat))
+        if given:
+            want = F.coalesce(F.create_map(*(F.lit(x) for pair in given.items() for x in (pair[0], float(pair[1]))))[F.col(key)], want)
+        rows = cells.groupBy(key).agg(F.sum("t").alias("t")).select(key, F.when(F.col("t") > 0, want).otherwise(0.0).alias("want"))
+        sum_ = rows.agg(F.sum("want")).head()[0]
+        wants.append(C.cut(rows.withColumn("want", float(total) * F.col("want") / max(sum_, 1e-300)), "mix-want"))
+    few = [w.count() <= 100_000 for w in wants]
+    w = cells.select(*KEYS, "t", F.col("t").cast("double").alias("w"))
+    held: list[DataFrame] = []
+    for _ in range(targets.rounds):
+        off, done = 0.0, []
+        for key, want, small in zip(KEYS, wants, few, strict=True):
+            scale = C.cut(w.groupBy(key).agg(F.sum("w").alias("have")).join(want, key), "mix-scale")
+            done.append(scale)
+            r = scale.agg(F.max(F.abs(F.col("have") - F.col("want"))), F.sum("want")).head()
+            off = max(off, r[0] / max(r[1], 1e-300))
+            by = scale.select(key, F.when(F.col("have") > 0, F.col("want") / F.col("have")).otherwise(0.0).alias("by"))
+            w = w.join(F.broadcast(by) if small else by, key).select(*KEYS, "t", (F.col("w") * F.col("by")).alias("w"))
+        w = C.cut(w, "mix-weights")
+        C.drop(*held, *done)
+        held = [w]
+        if off < targets.tolerance:
+            break
+    C.drop(*wants)
+    sum_ = w.agg(F.sum("w")).head()[0]
+    c = _scale_for(w, targets.budget * total)
+    p = F.when(F.col("t") > 0, F.least(F.lit(1.0), F.lit(c) * F.col("w") / F.col("t"))).otherwise(F.lit(targets.budget))
+    return w.select(*KEYS, (F.col("w") / max(sum_, 1e-300)).alias("mix_weight"), p.alias("mix_probability"))
+
+
 def with_strata(docs: DataFrame, targets: Targets, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     have = set(docs.columns)
     value = lambda c: (F.col(c) if c in have else F.lit(None)).cast("string")
@@ -116,15 +183,15 @@ def with_strata(docs: DataFrame, targets: Targets, id_col: str = "doc_id", text_
     named = lambda axis: sorted(targets.weights.get(axis, {}))
     key = F.concat_ws(":", F.lit("mix"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.md5(text.cast("binary")))
     return docs.withColumns({
-        "mix_source": stratum(value("source"), named("source")),
-        "mix_language": stratum(value("lang"), named("language")),
+        "mix_source": stratum(value("source"), named("source"), targets.hashed),
+        "mix_language": stratum(value("lang"), named("language"), targets.hashed),
         "mix_topic": topic_of(text),
         "mix_tokens": token_count(text),
         "mix_u": F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52),
     })
 
 
-def mix(docs: DataFrame, targets: Targets = Targets(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mix(docs: DataFrame, targets: Targets = Targets(), id_col: str = "doc_id", text_col: str = "text", driver_cells: int = DRIVER_CELLS) -> DataFrame:
     """The rows with mix_source, mix_language, mix_topic, mix_tokens, mix_u, mix_weight, mix_probability and mix_sampled (mix_u < mix_probability).
 
     Tokens are words between ASCII white space.  A null source or language is a stratum of its own, as a missing
@@ -133,15 +200,22 @@ def mix(docs: DataFrame, targets: Targets = Targets(), id_col: str = "doc_id", t
     null ids count as one id.  Columns of the mix_ names are replaced, others kept.  An empty
     table gives an empty result.
 
-    The cells are at most (named + 257) sources x languages of the same kind x 5
-    topics; only their sums reach the driver, and the table of probabilities is broadcast.
+    Hashed cells are at most (named + 257) sources x languages of the same kind x 5
+    topics.  Up to ``driver_cells`` cells, their sums are raked on the driver and the table of
+    probabilities is broadcast; more are raked in Spark and joined.
     """
     spark = docs.sparkSession
     rows = with_strata(docs, targets, id_col, text_col)
-    cells = rows.groupBy("mix_source", "mix_language", "mix_topic").agg(F.sum("mix_tokens").alias("t"), F.count("*").alias("n")).collect()
-    table = spark.createDataFrame(cell_probabilities([(c[0], c[1], c[2], c[3], c[4]) for c in cells], targets), "mix_source string, mix_language string, mix_topic string, mix_weight double, mix_probability double")
+    cells = rows.groupBy(*KEYS).agg(F.sum("mix_tokens").alias("t"), F.count("*").alias("n"))
+    if not targets.hashed:
+        cells = C.cut(cells, "mix-cells", 6_400_000)
+    if not targets.hashed and cells.count() > driver_cells:
+        table = raked_table(cells, targets)
+    else:
+        got = [(c[0], c[1], c[2], c[3], c[4]) for c in cells.collect()]
+        table = F.broadcast(spark.createDataFrame(cell_probabilities(got, targets), "mix_source string, mix_language string, mix_topic string, mix_weight double, mix_probability double"))
     rows = rows.drop("mix_weight", "mix_probability", "mix_sampled")
-    out = rows.join(F.broadcast(table), ["mix_source", "mix_language", "mix_topic"])
+    out = rows.join(table, KEYS)
     return out.withColumn("mix_sampled", F.col("mix_u") < F.col("mix_probability"))
 
 

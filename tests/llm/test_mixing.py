@@ -84,3 +84,35 @@ def test_a_hot_source_is_brought_to_its_target(spark):
     for k in range(7):
         assert abs(sum(r.mix_tokens for r in kept if r.source == f"src{k}") / total - 1 / 7) < 0.03
     assert abs(total / sum(len(t.split()) for _, t, *_ in rows) - 0.2) < 0.02
+
+
+def test_sources_whose_hashes_collide_are_strata_of_their_own(spark, tmp_path):
+    import zlib
+
+    from sparrowdex.llm.queries import op9_mixing_sources
+
+    seen = {}
+    for k in range(1000):
+        name = f"site{k}"
+        if (other := seen.setdefault(zlib.crc32(name.encode()) % STRATA, name)) != name:
+            break
+    rng = random.Random(3)
+    rows = [(i, prose(rng, 20), "en", [other, other, other, name, None, "#null"][i % 6]) for i in range(600)]
+    make_documents(spark, rows, clashing=False).write.parquet(f"{tmp_path}/documents.parquet")
+    got = op9_mixing_sources(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    assert {(r.source, r.mix_source) for r in got} == {(other, other), (name, name), (None, "#null"), ("#null", "##null")}
+    # the small source is sampled at a higher rate than the one whose hash it shares
+    rate = {r.mix_source: r.mix_probability for r in got}
+    assert rate[name] > rate[other]
+
+
+def test_cells_raked_in_spark_have_the_weights_of_the_driver(spark):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, rng.randint(0, 30)) + rng.choice(["", " a@example.org"]), rng.choice(["en", "de", None]), f"s{rng.randint(0, 300) % rng.choice([3, 301])}") for i in range(1500)]
+    targets = Targets(weights={"source": {"s0": 0.3, "s1": 0.0}, "language": {"en": 0.2}}, budget=0.4, rounds=3, hashed=False)
+    df = make_documents(spark, rows)
+    keys = ("mix_source", "mix_language", "mix_topic")
+    here, there = ({tuple(r[k] for k in keys): (r.mix_weight, r.mix_probability) for r in mix(df, targets, driver_cells=n).collect()} for n in (10**6, 0))
+    assert here.keys() == there.keys()
+    assert all(np.allclose(here[k], there[k], rtol=1e-6, atol=1e-12) for k in here)
