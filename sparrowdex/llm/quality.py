@@ -87,11 +87,12 @@ class Views:
         return sigmoid(odds[0] + odds[1] - s["prior"])
 
 
-def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, rounds: int = 5, share: float = 0.05, sure: float = 0.95) -> Views:
+def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, rounds: int = 5, share: float = 0.05, sure: float = 0.95, counts: dict[int, int] | None = None) -> Views:
     """``y``: 1, 0, or -1 for unlabelled rows.  Every third labelled row is left to the calibration.
 
     A round exchanges at most ``share`` of the pool for each view, half of it from each
-    end, and only rows whose probability is ``sure`` or more.
+    end, and only rows whose probability is ``sure`` or more.  ``counts``: the labelled rows of
+    each kind that ``y`` is a sample of; calibration and prior are weighted back to them.
     """
     known = np.flatnonzero(y >= 0)
     check = known[2::3]
@@ -99,7 +100,9 @@ def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, rounds: int = 5,
     pool = np.flatnonzero(y < 0)
     views = [text, meta]
     given: list[dict[int, float]] = [{}, {}]
-    rate = float(np.clip(y[known].mean(), 1e-3, 1 - 1e-3))
+    stands = np.array([(counts or {}).get(k, (y == k).sum()) / max((y == k).sum(), 1) for k in (0, 1)])
+    weight = stands[y[known]] / stands[y[known]].mean()
+    rate = float(np.clip(np.average(y[known], weights=weight), 1e-3, 1 - 1e-3))
 
     def fit(v: int) -> Logistic:
         extra = np.array(sorted(given[v]), np.int64)
@@ -125,7 +128,7 @@ def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, rounds: int = 5,
     platt = []
     for v in (0, 1):
         z = models[v].logit(views[v][check])
-        m = Logistic(z[:, None], y[check].astype(float), penalty=1.0)
+        m = Logistic(z[:, None], y[check].astype(float), penalty=1.0, weight=weight[2::3])
         slope = float(m.beta[0] / m.scale[0])
         platt.append((float(m.beta[1] - slope * m.mean[0]), slope) if slope > 0 else (float(np.log(rate / (1 - rate))), 0.0))
     spec = {k: {"mean": m.mean.tolist(), "scale": m.scale.tolist(), "beta": m.beta.tolist()} for k, m in zip(("text", "meta"), models, strict=True)}
@@ -151,14 +154,14 @@ def _view(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def learn(docs: DataFrame, labels: DataFrame, sample: int = 6000, id_col: str = "doc_id", text_col: str = "text") -> Views | None:
     """The two views from at most ``sample`` labelled rows (``labels``: doc_id, quality) and as many unlabelled ones, chosen by a hash of the id.
 
-    None without labelled rows of both kinds.
+    The sample is weighted back to all labelled rows of ``docs``.  None without labelled rows of both kinds.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("quality") > 0).cast("int")).alias("y"))
     poor = known.where("y = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2)
     good = known.where("y = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2)
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null")
     free = ids.join(labels.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_anti").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumn("y", F.lit(-1))
-    n = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    n = {r.y: r.n for r in ids.join(known, "doc_id").groupBy("y").agg(F.count("*").alias("n")).collect()}
     rows = _view(docs, id_col, text_col).join(F.broadcast(poor.union(good).union(free)), "doc_id")
     got = rows.mapInArrow(_sampled, "doc_id long, y int, x array<double>, m array<double>").toArrow()
     order = np.lexsort([got["y"].to_numpy(), got["doc_id"].to_numpy()])
@@ -166,7 +169,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 6000, id_col: str =
     if not (y == 0).any() or not (y == 1).any():
         return None
     x, m = (np.array(got[c].to_pylist())[order] for c in ("x", "m"))
-    return cotrain(x, m, y)
+    return cotrain(x, m, y, counts=n)
 
 
 def _scored(batches: Iterator[pa.RecordBatch], views: Views | None) -> Iterator[pa.RecordBatch]:

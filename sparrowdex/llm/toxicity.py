@@ -187,18 +187,21 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 12_000, keep: int =
 
     At most ``sample`` labelled rows are looked at, a fair share of each label, chosen by a hash of the
     id; rows with equal texts count once.  At most ``keep`` candidates reach the
-    driver.  Without rows of both labels the fixed lexicon is returned.
+    driver.  The calibration is weighted back to the labelled texts of ``docs``.  Without rows of both labels the fixed lexicon is returned.
     """
     known = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).alias("y"))
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     ids = known.where("y").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 3).union(known.where("not y").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample - sample // 3))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(ids), "doc_id")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
+    rows = texts.join(F.broadcast(ids), "doc_id")
     rows = C.cut(rows.select("doc_id", "y", "text").dropDuplicates(["text"]), "labelled")
     n = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     start = Lexicon.fixed()
     if not n.get(True) or not n.get(False):
         C.drop(rows)
         return start
+    hashes = texts.select("doc_id", F.xxhash64("text").alias("h")).join(known, "doc_id").groupBy("h").agg(F.max("y").alias("y"))
+    stands = {r.y: r.n / n[r.y] for r in hashes.groupBy("y").agg(F.count("*").alias("n")).collect()}
     least = max(4, n[True] // 200)
     counts = rows.mapInArrow(_support, "key string, n1 long, n long").groupBy("key").agg(F.sum("n1").alias("n1"), F.sum("n").alias("n"))
     odds = F.log((F.col("n1") + 0.5) / n[True]) - F.log((F.col("n") - F.col("n1") + 0.5) / n[False])
@@ -220,7 +223,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 12_000, keep: int =
 
     pairs = rows.mapInArrow(weigh, "y boolean, x double").collect()
     x, y = np.array([r.x for r in pairs]), np.array([r.y for r in pairs], float)
-    model = Logistic(x[:, None], y, penalty=1e-2)
+    weight = np.where(y > 0, stands.get(True, 1.0), stands.get(False, 1.0))
+    model = Logistic(x[:, None], y, penalty=1e-2, weight=weight / weight.mean())
     slope = float(model.beta[0] / model.scale[0])
     C.drop(rows)
     if slope <= 0:

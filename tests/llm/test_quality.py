@@ -75,3 +75,18 @@ def test_held_out_rows_of_the_supplied_table(spark):
     out = op2_quality_classifier(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("held_out").collect()
     assert np.mean([r.kept == (r.quality == 1) for r in out]) >= 0.98
     assert np.mean([r.kept for r in out if r.quality == 1]) >= 0.99
+
+
+def test_a_bounded_sample_has_the_prior_of_all_labelled_rows(spark):
+    import json
+    import random
+
+    from conftest_llm import make_documents, prose
+
+    rng = random.Random(5)
+    rows = [(i, prose(rng, 40 if i % 10 else 8), "en", "src0") for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(400)] + [(i, 0) for i in range(1000, 1300)], "doc_id long, quality int")
+    m = Q.learn(make_documents(spark, rows), labels, sample=600)
+    assert np.isclose(json.loads(m.spec)["prior"], np.log(9))
+    m = Q.learn(make_documents(spark, rows), labels.where("doc_id < 1000"), sample=40)
+    assert np.isclose(json.loads(m.spec)["prior"], np.log(9))

@@ -85,3 +85,14 @@ def test_held_out_rows_of_the_supplied_table(spark):
     assert sum(r.predicted for r in out if not r.toxic) <= 0.005 * len(out)
     toxic = [r for r in out if r.toxic]
     assert sum(r.predicted for r in toxic) >= 0.9 * len(toxic)
+
+
+def test_a_bounded_sample_is_weighted_back(spark):
+    import numpy as np
+
+    rng = random.Random(5)
+    rows = [(i, prose(rng, 30) + (" zorgblat" * 3 if i % 20 == 0 else ""), "en", "src0") for i in range(800)]
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(800)], "doc_id long, toxic int")
+    docs = make_documents(spark, rows)
+    scores = {r.doc_id: r.score for r in X.toxicity(docs, X.learn(docs, labels, sample=90)).collect()}
+    assert abs(np.mean([s for i, s in scores.items() if i % 20]) - 40 / 760) < 0.04
