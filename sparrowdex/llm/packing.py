@@ -4,7 +4,7 @@ Pieces are packed by length alone, so the instance is a histogram of at most
 ``LENGTH`` lengths, whatever the number of documents.  The reduction fixes sets that
 dominate every other set for the largest piece: alone, if nothing fits beside it;
 with the largest partner, if that fills the sequence, if only one piece fits beside
-it, or if no two pieces that fit are longer together.  The rest is
+it, or if no two pieces that fit are longer together and no three fit.  The rest is
 packed best-fit decreasing, equal bins at a time.  Then each piece looks up its
 place by its rank among the pieces of its length.
 """
@@ -40,11 +40,11 @@ def reduce(left: dict[int, int], capacity: int) -> Bins:
         while left[big]:
             left[big] -= 1
             room = capacity - big
-            small = _smallest(sizes, left, 2)
+            small = _smallest(sizes, left, 3)
             fit = _largest(sizes, left, room)
             if fit is None:
                 take: list[int] | None = []
-            elif fit == room or len(small) < 2 or small[0] + small[1] > room or fit >= _best_two(sizes, left, room):
+            elif fit == room or len(small) < 2 or small[0] + small[1] > room or (len(small) < 3 or sum(small) > room) and fit >= _best_two(sizes, left, room):
                 take = [fit]
             else:
                 take = None

@@ -100,3 +100,11 @@ def test_a_hot_length(spark):
     rng = random.Random(2)
     rows = [(i, "one and the same" if i % 3 else prose(rng, rng.randint(1, 60)), "en", "src0") for i in range(600)]
     check(P.pack(make_documents(spark, rows), PATH, 64).collect(), rows, 64)
+
+
+def test_a_pair_is_not_fixed_where_three_fit_beside_the_largest():
+    sizes = [11, 10, 7, 3, 3, 3, 3]
+    left = dict(Counter(sizes))
+    fixed = P.reduce(left, 20)
+    rest = [s for s, n in left.items() for _ in range(n)]
+    assert sum(n for n, _ in fixed) + (fewest(rest, 20) if rest else 0) == fewest(sizes, 20) == 2
