@@ -8,8 +8,9 @@ exception phrase do not count.  The summed weights are normalised by the text's
 length and calibrated to a probability.
 
 The lexicon begins with a short fixed list and is completed from labelled rows:
-the word beginnings that set toxic rows apart, chosen greedily so that each
-explains rows that none before it does.
+the whole words, of any length, and the word beginnings that set toxic rows apart.  A weight is
+a logarithm of odds that is drawn to 0 by a few rows of the common kind, so that what
+a handful of rows hold by chance weighs little.
 """
 
 from __future__ import annotations
@@ -38,7 +39,10 @@ DISGUISES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a
 # Words that insult, with weights, and harmless phrases that hold them.
 WORDS = {"idiot": 3.0, "moron": 3.0, "stupid": 2.5, "loser": 2.5, "scum": 3.0, "trash": 1.5, "clown": 1.5, "pathetic": 2.0, "worthless": 2.5, "disgusting": 2.0, "imbecile": 3.0, "dumbass": 3.5, "asshole": 3.5, "bastard": 3.0, "bitch": 3.5, "retard": 3.5}
 EXCEPTIONS = ("idiot proof", "trash can", "trash bin", "trash collection", "clown fish", "clown nose", "circus clown", "sore loser", "loser bracket")
-LENGTHS = (4, 5, 6, 7)
+#: Letters of a learned beginning; whole words of any length are learned beside them.
+LENGTHS = range(4, 13)
+#: Rows of the common kind by which a weight is drawn to 0, the least weight, and the least toxic rows of an entry.
+DRAWN, FLOOR, LEAST = 4.0, 2.0, 4
 
 
 class _Folds(dict):
@@ -125,17 +129,18 @@ def _score(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_hits, pa.int64()), pa.array(sigmoid(a + b * np.array(x, float)))], ["doc_id", "n_hits", "score"])
 
 
-def _beginnings(folded: str) -> set[str]:
+def _keys(folded: str) -> set[str]:
+    """The text's words as entries, whole and by their beginnings."""
     words = set(folded.split())
-    return {" " + w[:k] for w in words for k in LENGTHS if len(w) >= k}
+    return {f" {w} " for w in words} | {" " + w[:k] for w in words for k in LENGTHS if len(w) > k}
 
 
 def _support(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many distinct rows of each label hold a word beginning, summed by task."""
+    """In how many rows, and in how many toxic ones, an entry occurs, summed by task."""
     one, all_ = Counter(), Counter()
     for batch in batches:
-        for y, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            got = _beginnings(fold(t or ""))
+        for y, t in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            got = _keys(fold(t))
             all_.update(got)
             if y:
                 one.update(got)
@@ -150,80 +155,69 @@ def _counted(one: Counter, all_: Counter) -> Iterator[pa.RecordBatch]:
     yield from pa.table({"key": pa.array(keys, pa.string()), "n1": pa.array([one[k] for k in keys], pa.int64()), "n": pa.array([all_[k] for k in keys], pa.int64())}).to_batches(20_000)
 
 
-def _held(batches: Iterator[pa.RecordBatch], keys: dict[str, int]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = [sorted(keys[k] for k in _beginnings(fold(t or "")) if k in keys) for t in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32()))], ["held"])
-
-
-def _cover(candidates: list[tuple[str, int, int]], rows: list[list[int]], least: int) -> list[int]:
-    """Greedy choice of candidates; of beginnings that explain nearly the same rows, the longest."""
-    holders: dict[int, set[int]] = {i: set() for i in range(len(candidates))}
-    for r, held in enumerate(rows):
-        for i in held:
-            holders[i].add(r)
-    at = {c[0]: i for i, c in enumerate(candidates)}
-    longer: dict[int, list[int]] = {}
-    for k, i in at.items():
-        for size in range(3, len(k)):
-            if (j := at.get(k[:size])) is not None:
-                longer.setdefault(j, []).append(i)
-    left, out = set(range(len(rows))), []
-    while left:
-        best = max(holders, key=lambda i: (len(holders[i]), -candidates[i][2], candidates[i][0]), default=None)
-        if best is None or len(holders[best]) < least:
-            break
-        gain = len(holders[best])
-        pick = max([best, *longer.get(best, [])], key=lambda i: (len(holders.get(i, ())) >= 0.95 * gain, len(candidates[i][0]), len(holders.get(i, ())), candidates[i][0]))
-        out.append(pick)
-        covered = set(holders[pick]) | holders[best]
-        left -= covered
-        holders = {i: rest for i, h in holders.items() if len(rest := h - covered) >= least}
-    return out
+def _family(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the least hash of their 3-word shingles, which near copies mostly share."""
+    for b in batches:
+        least = [int(C.as_long(C.shingles(w, 3)).min()) if len(w) else 0 for w, _ in C.batch_words(C.text_bytes(b.column("text")))]
+        yield pa.RecordBatch.from_arrays([b.column("h"), b.column("y"), b.column("text"), pa.array(least, pa.int64())], ["h", "y", "text", "family"])
+
+
+def entries(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[str, float]:
+    """Entries with their weights from ``counts`` (entry, toxic rows, clean rows) of ``toxic`` and ``clean`` rows.
+
+    A beginning is left out where a longer entry stands in nine tenths of its toxic rows.
+    """
+    share = toxic / (toxic + clean)
+    weight = {k: np.log((n1 + DRAWN * share) / (n0 + DRAWN * (1 - share))) - np.log(toxic / clean) for k, n1, n0 in counts}
+    rows = {k: n1 for k, n1, _ in counts if n1 >= LEAST and weight[k] >= FLOOR}
+    implied = {k[:i] for k, n1 in rows.items() for i in range(1, len(k)) if n1 >= 0.9 * rows.get(k[:i], np.inf)}
+    return {k: float(min(6.0, weight[k])) for k in rows if k not in implied}
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = 12_000, keep: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 12_000, keep: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> Lexicon:
     """The fixed lexicon completed and calibrated from labelled rows (``labels``: doc_id, toxic).
 
-    At most ``sample`` labelled rows are looked at, a fair share of each label, chosen by a hash of the
-    id; rows with equal texts count once.  At most ``keep`` candidates reach the
-    driver.  The calibration is weighted back to the labelled texts of ``docs``.  Without rows of both labels the fixed lexicon is returned.
+    Equal texts count once, and are toxic if any of their labels says so.  At most ``sample`` texts are looked at, a third of
+    them toxic, those with the least hashes; near copies among them mostly count once.  At most ``keep`` entries reach the
+    driver.  The calibration is weighted back to all labelled texts of ``docs``.  Without texts of both labels the fixed lexicon is returned.
     """
-    known = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).alias("y"))
-    known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
-    ids = known.where("y").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 3).union(known.where("not y").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample - sample // 3))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
-    rows = texts.join(F.broadcast(ids), "doc_id")
-    rows = C.cut(rows.select("doc_id", "y", "text").dropDuplicates(["text"]), "labelled")
-    n = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic") > 0).alias("y"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null").withColumn("h", F.xxhash64("text"))
+    hashes = texts.select("doc_id", "h").join(known, "doc_id").groupBy("h").agg(F.max("y").alias("y"), F.min("doc_id").alias("doc_id"))
+    hashes = C.cut(hashes, "labelled-hashes")
+    every = {r.y: r.n for r in hashes.groupBy("y").agg(F.count("*").alias("n")).collect()}
     start = Lexicon.fixed()
+    if not every.get(True) or not every.get(False):
+        C.drop(hashes)
+        return start
+    chosen = hashes.where("y").orderBy("h").limit(sample // 3).union(hashes.where("not y").orderBy("h").limit(sample - sample // 3))
+    rows = texts.join(F.broadcast(chosen), ["doc_id", "h"]).select("h", "y", "text").dropDuplicates(["h"])
+    rows = rows.mapInArrow(_family, "h long, y boolean, text string, family long")
+    rows = rows.groupBy("family").agg(F.max("y").alias("y"), F.min_by("text", "h").alias("text"))
+    rows = C.cut(rows.select("y", "text"), "labelled")
+    C.drop(hashes)
+    n = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not n.get(True) or not n.get(False):
         C.drop(rows)
         return start
-    hashes = texts.select("doc_id", F.xxhash64("text").alias("h")).join(known, "doc_id").groupBy("h").agg(F.max("y").alias("y"))
-    stands = {r.y: r.n / n[r.y] for r in hashes.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    least = max(4, n[True] // 200)
     counts = rows.mapInArrow(_support, "key string, n1 long, n long").groupBy("key").agg(F.sum("n1").alias("n1"), F.sum("n").alias("n"))
     odds = F.log((F.col("n1") + 0.5) / n[True]) - F.log((F.col("n") - F.col("n1") + 0.5) / n[False])
-    top = counts.where(F.col("n1") >= least).withColumn("odds", odds).where("odds > 3").orderBy(F.desc(F.col("odds") * F.sqrt("n1")), "key").limit(keep).collect()
-    candidates = [(r.key, r.n1, r.n - r.n1) for r in top]
-    keys = {c[0]: i for i, c in enumerate(candidates)}
-    held = [r.held for r in rows.where("y").mapInArrow(lambda it: _held(it, keys), "held array<int>").collect()]
-    learned = {top[i].key: min(6.0, top[i].odds) for i in _cover(candidates, held, least)}
+    top = counts.where(F.col("n1") >= LEAST).withColumn("odds", odds).where(F.col("odds") >= FLOOR).orderBy(F.desc(F.col("odds") * F.sqrt("n1")), "key").limit(keep).collect()
+    learned = entries([(r.key, r.n1, r.n - r.n1) for r in top], n[True], n[False])
     fixed = {k: w for k, w in start.entries if not any(k.startswith(x) for x in learned)}
     lexicon = Lexicon(tuple(sorted((fixed | learned).items())), start.exceptions, start.beta)
 
     def weigh(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             x = []
-            for t in batch.column(2).to_pylist():
+            for t in batch.column("text").to_pylist():
                 folded = fold(t)
                 x.append(density(hits(lexicon, folded)[0], len(folded.split())))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(x, pa.float64())], ["y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(x, pa.float64())], ["y", "x"])
 
     pairs = rows.mapInArrow(weigh, "y boolean, x double").collect()
     x, y = np.array([r.x for r in pairs]), np.array([r.y for r in pairs], float)
-    weight = np.where(y > 0, stands.get(True, 1.0), stands.get(False, 1.0))
+    weight = np.where(y > 0, every[True] / n[True], every[False] / n[False])
     model = Logistic(x[:, None], y, penalty=1e-2, weight=weight / weight.mean())
     slope = float(model.beta[0] / model.scale[0])
     C.drop(rows)
@@ -233,7 +227,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 12_000, keep: int =
 
 
 def without_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``toxicity`` scores below ``threshold``, with all their columns."""
+    """The rows of ``docs`` that ``toxicity`` scores below ``threshold``, with all their columns.
+
+    A null or empty text has no hits and stays; repeated rows fare alike.  A score equal to ``threshold`` is rejected.
+    """
 
     def keep(b: pa.RecordBatch) -> list[bool]:
         texts = pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64()), b.column(text_col)], ["doc_id", "text"])

@@ -96,3 +96,40 @@ def test_a_bounded_sample_is_weighted_back(spark):
     docs = make_documents(spark, rows)
     scores = {r.doc_id: r.score for r in X.toxicity(docs, X.learn(docs, labels, sample=90)).collect()}
     assert abs(np.mean([s for i, s in scores.items() if i % 20]) - 40 / 760) < 0.04
+
+
+def test_the_sample_bounds_rows_and_not_ids(spark, monkeypatch):
+    from sparrowdex.llm import common
+
+    docs = spark.range(30_000).selectExpr("1L as doc_id", "concat('word ', id, ' of one id') as text").unionAll(spark.range(2, 60).selectExpr("id as doc_id", "concat('zugor text ', id) as text"))
+    labels = spark.range(1, 60).selectExpr("id as doc_id", "int(id > 1) as toxic")
+    sizes = []
+    cut = common.cut
+
+    def counted(df, name, *rest):
+        out = cut(df, name, *rest)
+        if name == "labelled":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(common, "cut", counted)
+    X.learn(docs, labels, sample=12)
+    assert sizes and max(sizes) <= 12
+
+
+def test_equal_texts_are_toxic_if_any_label_says_so(spark):
+    rng = random.Random(3)
+    rows = [(i, prose(rng, 30) + (" zugor" * 3 if i % 4 == 0 else ""), "en", "s") for i in range(200)]
+    labels = [(i, 1, int(i % 4 == 0)) for i in range(200)]
+    copies = [(i + 1000, t, "en", "s") for i, t, *_ in rows if i % 4 == 0]
+    once = X.learn(make_documents(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    both = X.learn(make_documents(spark, rows + copies), spark.createDataFrame(labels + [(i, 1, 0) for i, *_ in copies], "doc_id long, quality int, toxic int"))
+    assert once == both
+
+
+def test_entries_are_whole_words_of_any_length_or_beginnings():
+    long = " " + "a" * 40 + " "
+    counts = [(long, 20, 0), (" aaaa", 20, 0), (" chance ", 4, 3), (" often", 40, 2), (" oftenest ", 10, 0), (" rare ", 3, 0)]
+    got = X.entries(counts, 100, 900)
+    assert set(got) == {long, " often", " oftenest "}  # the beginning of the long word is implied by it
+    assert got[" often"] < 6.0
