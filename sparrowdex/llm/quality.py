@@ -10,6 +10,7 @@ common prior counted once.
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +26,9 @@ TEXT_NAMES = (
     "log words", "letters a word", "its spread", "capitals", "digits", "punctuation", "beyond ASCII", "line ends", "exclamation and question marks",
     "other signs", "distinct words", "commonest word", "distinct 3-word shingles", "distinct bytes", "entropy of bytes", "longest word", "empty",
 )
-_SOURCES, _LANGS, _SIZES = 32, 8, 12
+_OTHERS, _SIZES = 64, 12
+#: Sampled rows from which on a language or source has a column of its own.
+NAMED = 20
 
 _KIND = np.zeros(256, np.int64)  # letters, capitals, digits, punctuation, beyond ASCII, line ends, white space, ! and ?, other signs
 _KIND[:] = 8
@@ -62,16 +65,24 @@ def text_features(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def metadata_features(langs: list, sources: list, sizes: list) -> np.ndarray:
-    """Hashed language and source, and the stated length by its magnitude; unknown ones have columns of their own."""
+def metadata_features(langs: list, sources: list, sizes: list, named: dict[str, list[str]] | None = None) -> np.ndarray:
+    """Language and source, and the stated length by its magnitude, as indicators.
+
+    ``named`` languages and sources have a column each; others share ``_OTHERS`` columns by hash, and null has one.
+    """
     import zlib
 
-    out = np.zeros((len(langs), _LANGS + _SOURCES + _SIZES))
-    for i, (a, b, n) in enumerate(zip(langs, sources, sizes, strict=True)):
-        out[i, 0 if a is None else 1 + zlib.crc32(a.encode()) % (_LANGS - 1)] = 1
-        out[i, _LANGS + (0 if b is None else 1 + zlib.crc32(b.encode()) % (_SOURCES - 1))] = 1
-        out[i, _LANGS + _SOURCES + (0 if n is None else 1 + min(_SIZES - 2, max(0, int(n)).bit_length() // 2))] = 1
-    return out
+    blocks = []
+    for name, values in (("lang", langs), ("source", sources)):
+        at = {v: i for i, v in enumerate((named or {}).get(name, []))}
+        out = np.zeros((len(values), len(at) + _OTHERS + 1))
+        for i, v in enumerate(values):
+            out[i, -1 if v is None else at[v] if v in at else len(at) + zlib.crc32(v.encode()) % _OTHERS] = 1
+        blocks.append(out)
+    out = np.zeros((len(sizes), _SIZES))
+    for i, n in enumerate(sizes):
+        out[i, 0 if n is None else 1 + min(_SIZES - 2, max(0, int(n)).bit_length() // 2)] = 1
+    return np.hstack([*blocks, out])
 
 
 @dataclass(frozen=True)
@@ -80,6 +91,10 @@ class Views:
 
     spec: str
 
+    @property
+    def named(self) -> dict[str, list[str]]:
+        return json.loads(self.spec)["named"]
+
     def score(self, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
         s = json.loads(self.spec)
         z = [np.clip(((x - np.array(m["mean"])) / np.array(m["scale"])) @ np.array(m["beta"][:-1]) + m["beta"][-1], -30, 30) for x, m in ((text, s["text"]), (meta, s["meta"]))]
@@ -87,12 +102,13 @@ class Views:
         return sigmoid(odds[0] + odds[1] - s["prior"])
 
 
-def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, rounds: int = 5, share: float = 0.05, sure: float = 0.95, counts: dict[int, int] | None = None) -> Views:
+def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, rounds: int = 5, share: float = 0.05, sure: float = 0.95, counts: dict[int, int] | None = None, named: dict[str, list[str]] | None = None) -> Views:
     """``y``: 1, 0, or -1 for unlabelled rows.  Every third labelled row is left to the calibration.
 
     A round exchanges at most ``share`` of the pool for each view, half of it from each
     end, and only rows whose probability is ``sure`` or more.  ``counts``: the labelled rows of
     each kind that ``y`` is a sample of; calibration and prior are weighted back to them.
+    ``named``: the values with metadata columns of their own.
     """
     known = np.flatnonzero(y >= 0)
     check = known[2::3]
@@ -132,17 +148,17 @@ def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, rounds: int = 5,
         slope = float(m.beta[0] / m.scale[0])
         platt.append((float(m.beta[1] - slope * m.mean[0]), slope) if slope > 0 else (float(np.log(rate / (1 - rate))), 0.0))
     spec = {k: {"mean": m.mean.tolist(), "scale": m.scale.tolist(), "beta": m.beta.tolist()} for k, m in zip(("text", "meta"), models, strict=True)}
-    return Views(json.dumps(spec | {"platt": platt, "prior": float(np.log(rate / (1 - rate)))}))
+    return Views(json.dumps(spec | {"named": named or {}, "platt": platt, "prior": float(np.log(rate / (1 - rate)))}))
 
 
-def _features(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return text_features(C.text_bytes(b.column("text"))), metadata_features(*(b.column(c).to_pylist() for c in ("lang", "source", "n_chars")))
+def _features(b: pa.RecordBatch, named: dict[str, list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    return text_features(C.text_bytes(b.column("text"))), metadata_features(*(b.column(c).to_pylist() for c in ("lang", "source", "n_chars")), named)
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        x, m = _features(b)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(list(x), pa.list_(pa.float64())), pa.array(list(m), pa.list_(pa.float64()))], ["doc_id", "y", "x", "m"])
+        x = text_features(C.text_bytes(b.column("text")))
+        yield pa.RecordBatch.from_arrays([b.column(c) for c in ("row", "y", "lang", "source", "n_chars")] + [pa.array(list(x), pa.list_(pa.float64()))], ["row", "y", "lang", "source", "n_chars", "x"])
 
 
 def _view(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -152,40 +168,54 @@ def _view(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = 6000, id_col: str = "doc_id", text_col: str = "text") -> Views | None:
-    """The two views from at most ``sample`` labelled rows (``labels``: doc_id, quality) and as many unlabelled ones, chosen by a hash of the id.
+    """The two views from at most ``sample`` labelled rows (``labels``: doc_id, quality) and as many unlabelled ones, those with the least hashes.
 
-    The sample is weighted back to all labelled rows of ``docs``.  None without labelled rows of both kinds.
+    Rows that are equal in id, text and metadata count once; a document with labels of both kinds is good.  The sample is
+    weighted back to all labelled rows of ``docs``.  The unlabelled rows are the pool from which the rounds of co-training
+    draw.  A language or source with ``NAMED`` rows in the sample has a column of its own.  None without labelled rows of both kinds.
     """
-    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("quality") > 0).cast("int")).alias("y"))
-    poor = known.where("y = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2)
-    good = known.where("y = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2)
-    ids = docs.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null")
-    free = ids.join(labels.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_anti").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumn("y", F.lit(-1))
-    n = {r.y: r.n for r in ids.join(known, "doc_id").groupBy("y").agg(F.count("*").alias("n")).collect()}
-    rows = _view(docs, id_col, text_col).join(F.broadcast(poor.union(good).union(free)), "doc_id")
-    got = rows.mapInArrow(_sampled, "doc_id long, y int, x array<double>, m array<double>").toArrow()
-    order = np.lexsort([got["y"].to_numpy(), got["doc_id"].to_numpy()])
-    y = got["y"].to_numpy()[order]
-    if not (y == 0).any() or not (y == 1).any():
+    known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("quality") > 0).cast("int")).alias("y"))
+    rows = _view(docs, id_col, text_col).where("doc_id is not null")
+    rows = rows.withColumn("row", F.xxhash64("doc_id", "text", "lang", "source", "n_chars"))
+    # one narrow row each; a document whose labels are all null is neither labelled nor in the pool
+    keys = C.cut(rows.select("row", "doc_id").join(known.withColumn("labelled", F.lit(True)), "doc_id", "left").where("labelled is null or y is not null").select("row", "doc_id", F.coalesce("y", F.lit(-1)).alias("y")).distinct(), "quality-rows")
+    n = {r.y: r.n for r in keys.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if not n.get(0) or not n.get(1):
+        C.drop(keys)
         return None
-    x, m = (np.array(got[c].to_pylist())[order] for c in ("x", "m"))
-    return cotrain(x, m, y, counts=n)
+    least = lambda y, most: keys.where(F.col("y") == y).orderBy("row", "doc_id").limit(most)
+    chosen = least(0, sample // 2).union(least(1, sample // 2)).union(least(-1, sample))
+    rows = rows.join(F.broadcast(chosen), ["row", "doc_id"]).dropDuplicates(["row", "doc_id"])
+    got = rows.mapInArrow(_sampled, "row long, y int, lang string, source string, n_chars long, x array<double>").toArrow()
+    C.drop(keys)
+    order = np.lexsort([got["y"].to_numpy(), got["row"].to_numpy()])
+    got = got.take(pa.array(order))
+    y = got["y"].to_numpy()
+    meta = {c: got[c].to_pylist() for c in ("lang", "source", "n_chars")}
+    named = {c: sorted(v for v, k in Counter(meta[c]).items() if v is not None and k >= NAMED) for c in ("lang", "source")}
+    return cotrain(np.array(got["x"].to_pylist()), metadata_features(meta["lang"], meta["source"], meta["n_chars"], named), y, counts=n, named=named)
 
 
 def _scored(batches: Iterator[pa.RecordBatch], views: Views | None) -> Iterator[pa.RecordBatch]:
+    named = {} if views is None else views.named
     for b in batches:
-        score = np.ones(b.num_rows) if views is None else views.score(*_features(b))
+        score = np.ones(b.num_rows) if views is None else views.score(*_features(b, named))
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score)], ["doc_id", "score"])
 
 
 def without_poor(docs: DataFrame, views: Views | None, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``quality`` keeps, with all their columns."""
+    """The rows of ``docs`` that ``quality`` keeps, with all their columns; all of them without a model.
+
+    A null or empty text is scored as an empty one, null metadata as values of their own; repeated rows fare alike.  A score
+    equal to ``threshold`` is kept.
+    """
     if views is None:
         return docs
+    named = views.named
 
     def keep(b: pa.RecordBatch) -> list[bool]:
         x = text_features(C.text_bytes(b.column(text_col)))
-        return (views.score(x, metadata_features(*(C.column(b, c) for c in ("lang", "source", "n_chars")))) >= threshold).tolist()
+        return (views.score(x, metadata_features(*(C.column(b, c) for c in ("lang", "source", "n_chars")), named)) >= threshold).tolist()
 
     return C.filter_rows(docs, keep)
 

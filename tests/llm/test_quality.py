@@ -90,3 +90,131 @@ def test_a_bounded_sample_has_the_prior_of_all_labelled_rows(spark):
     assert np.isclose(json.loads(m.spec)["prior"], np.log(9))
     m = Q.learn(make_documents(spark, rows), labels.where("doc_id < 1000"), sample=40)
     assert np.isclose(json.loads(m.spec)["prior"], np.log(9))
+
+
+def plain_features(text):
+    """``TEXT_NAMES`` of one text, word by word and sign by sign."""
+    import math
+    import re
+    from collections import Counter
+
+    data = text.encode()
+    words = [w.lower() for w in re.findall(rb"[^\x20\x09-\x0D]+", data)]
+    n = len(words)
+    if not n:
+        return [0.0] * (len(Q.TEXT_NAMES) - 1) + [1.0]
+    starts = [m.start() for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+    gaps = [b - a - 1 for a, b in zip(starts, [*starts[1:], len(data) + 1], strict=True)]
+    count = lambda signs: sum(data.count(bytes([c])) for c in signs)
+    punctuation, letters = b"\"'(),-.:;", bytes([*range(65, 91), *range(97, 123)])
+    white, ends = count(b"\t\x0b\x0c "), count(b"\n\r")
+    solid = max(1, len(data) - white - ends)
+    other = sum(c < 128 and c not in letters + punctuation + b"0123456789!?\t\x0b\x0c\n\r " for c in data)
+    three = {tuple(words[i : i + 3]) for i in range(max(1, n - 2))}
+    freq = [k / len(data) for k in Counter(data).values()]
+    mean = sum(gaps) / n
+    return [
+        math.log1p(n), min(solid / n, 30), min(math.sqrt(sum((g - mean) ** 2 for g in gaps) / n), 30), count(bytes(range(65, 91))) / solid, count(b"0123456789") / solid, count(punctuation) / n, sum(c > 127 for c in data) / solid, ends / n, count(b"!?") / n,
+        other / solid, len(set(words)) / n**0.85, max(Counter(words).values()) / n, len(three) / max(1, n - 2), math.log1p(len(set(data))), -sum(p * math.log(p) for p in freq), math.log1p(max(gaps)), 0.0,
+    ]
+
+
+def plain_logistic(x, y, penalty, weight):
+    """Log odds by a model fitted with damped Newton steps on the penalised likelihood, started anew."""
+    mean, scale = x.mean(0), x.std(0) + 1e-9
+    z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
+    ridge = np.diag([penalty] * x.shape[1] + [1e-6])
+    b = np.zeros(z.shape[1])
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-z @ b))
+        gradient = z.T @ (weight * (y - p)) - ridge @ b
+        hessian = sum(w * q * (1 - q) * np.outer(r, r) for w, q, r in zip(weight, p, z, strict=True)) + ridge
+        b = b + 0.5 * np.linalg.solve(hessian + 1e-9 * np.eye(len(b)), gradient)
+    return lambda v: np.clip(np.hstack([(v - mean) / scale, np.ones((len(v), 1))]) @ b, -30, 30), b, mean, scale
+
+
+def plain_cotraining(text, meta, y, score_text, score_meta, counts, rounds=5, share=0.05, sure=0.95):
+    """Co-training by its definition, with lists and loops; scores of the last two arrays."""
+    known = [i for i in range(len(y)) if y[i] >= 0]
+    check = known[2::3]
+    base = [i for i in known if i not in check]
+    pool = [i for i in range(len(y)) if y[i] < 0]
+    stands = {k: counts[k] / sum(v == k for v in y) for k in (0, 1)}
+    total = sum(stands[y[i]] for i in known)
+    rate = sum(stands[y[i]] * y[i] for i in known) / total
+    own = {i: stands[y[i]] * len(known) / total for i in known}
+    views, given = (text, meta), ({}, {})
+
+    def fit(v):
+        rows = [*base, *sorted(given[v])]
+        target = np.array([y[i] if y[i] >= 0 else given[v][i] for i in rows], float)
+        return plain_logistic(views[v][rows], target, 2.0, np.array([1.0] * len(base) + [0.3] * len(given[v])))[0]
+
+    models = [fit(0), fit(1)]
+    for _ in range(rounds):
+        most = int(len(pool) * share / 2)
+        for v in (0, 1):
+            free = [i for i in pool if i not in given[1 - v]]
+            if not free or not most:
+                continue
+            p = 1 / (1 + np.exp(-models[v](views[v][free])))
+            by = sorted(range(len(free)), key=lambda i: p[i])
+            given[1 - v].update({free[i]: 0.0 for i in by[:most] if p[i] <= 1 - sure})
+            given[1 - v].update({free[i]: 1.0 for i in by[-most:] if p[i] >= sure})
+        models = [fit(0), fit(1)]
+    odds = -np.log(rate / (1 - rate))
+    for v, new in enumerate((score_text, score_meta)):
+        z = models[v](views[v][check])[:, None]
+        at, b, _, scale = plain_logistic(z, np.array([y[i] for i in check], float), 1.0, np.array([own[i] for i in check]))
+        odds = odds + (at(models[v](new)[:, None]) if b[0] > 0 else np.log(rate / (1 - rate)))
+    return 1 / (1 + np.exp(-odds))
+
+
+def test_scores_are_those_of_a_plain_co_training(spark):
+    """The operator from tables to scores, against a version of lists and loops."""
+    import random
+    import zlib
+
+    from conftest_llm import make_documents, prose
+
+    rng = random.Random(11)
+    rows = []
+    for i in range(240):
+        good = i % 3 > 0
+        text = prose(rng, rng.randint(20, 60)) if good else " ".join(rng.choice(["XX9", "a", "!!", "##", "lo"]) for _ in range(rng.randint(5, 40)))
+        if rng.random() < 0.15:
+            text = prose(rng, 15) + "!"
+        source = rng.choice(["s1", "s2", "s3"]) if good else rng.choice(["s3", "s4"])
+        rows.append((i, text, "en" if i % 2 else None, f"rare{i}" if i % 17 == 0 else source))
+    label = {i: int(i % 3 > 0) for i in range(120)}
+    docs, labels = make_documents(spark, rows), spark.createDataFrame(list(label.items()), "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in Q.quality(docs, Q.learn(docs, labels)).collect()}
+
+    order = {r.doc_id: r.h for r in docs.selectExpr("doc_id", "xxhash64(doc_id, text, lang, source, n_chars) as h").collect()}
+    train = sorted(rows, key=lambda r: order[r[0]])
+    langs, sources = [r[2] for r in train], [r[3] for r in train]
+    own = {v for v in set(langs) | set(sources) if v is not None and max(langs.count(v), sources.count(v)) >= Q.NAMED}
+
+    def metadata(r):
+        out = []
+        for v, among in ((r[2], langs), (r[3], sources)):
+            names = sorted({x for x in among if x in own})
+            other = None if v is None or v in names else zlib.crc32(v.encode()) % Q._OTHERS
+            out += [float(v == x) for x in names] + [float(other == k) for k in range(Q._OTHERS)] + [float(v is None)]
+        size = 1 + min(Q._SIZES - 2, len(bin(len(r[1]))[2:]) // 2)
+        return out + [float(size == k) for k in range(Q._SIZES)]
+
+    text, meta = np.array([plain_features(r[1]) for r in train]), np.array([metadata(r) for r in train])
+    y = [label.get(r[0], -1) for r in train]
+    want = plain_cotraining(text, meta, y, text, meta, {0: y.count(0), 1: y.count(1)})
+    assert np.allclose(want, [got[r[0]] for r in train], atol=1e-4)
+    assert 0.05 < np.mean(want) < 0.95
+
+
+def test_the_sample_bounds_rows_and_not_ids(spark, monkeypatch):
+    docs = spark.range(30_000).selectExpr("1L as doc_id", "concat('word ', id) as text").unionAll(spark.range(2, 60).selectExpr("id as doc_id", "concat('text ', id) as text"))
+    labels = spark.range(1, 60).selectExpr("id as doc_id", "int(id > 1) as quality")
+    sizes = []
+    monkeypatch.setattr(Q, "cotrain", lambda x, m, y, **_: sizes.append((len(y), len(x), len(m))))
+    Q.learn(docs, labels, sample=12)
+    assert sizes and max(sizes[0]) <= 24
