@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set (tests)."""
+    """The cluster's shared checkpoint folder; a temporary one only where none is set and all runs on one machine (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="sparrowdex-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -48,6 +50,20 @@ def drop(*tables: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def looked_up(rows: DataFrame, key: str, counts: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table`` (one row for each ``key``), where many rows may have one key.
+
+    ``counts`` (key, n) has the rows of each key.  Keys with more than a ten-thousandth of all rows, of which there can't be more than
+    10,000, are broadcast with what the table says of them, so their rows stay where they are; the others are shuffled.
+    ``rows`` is read twice, so it should be a written table.
+    """
+    total = counts.agg(F.sum("n")).head()[0] or 0
+    hot = counts.where(F.col("n") > max(total / 10_000, 64)).select(key).limit(10_001)
+    hot = F.broadcast(cut(hot, "hot"))
+    found = table.join(hot, key)
+    return rows.join(hot, key, "left_semi").join(F.broadcast(found), key, how).unionByName(rows.join(hot, key, "left_anti").join(table, key, how))
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of at most ``rows`` rows and 4 MB, so that whole texts on both sides of the pipe stay small."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))

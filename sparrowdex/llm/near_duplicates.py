@@ -21,6 +21,10 @@ Pairs within a group of copies are never all built:
 
 What is left out is only what cannot change a component.  A key with very many
 rows is dealt over range partitions in step 2 and over pairs of blocks in step 3.
+There, a component with many nodes under a key has blocks of its own, which
+meet no other block of that component, so the work follows the pairs across components and not
+the square of the key.  Rows of a set with very many copies are reduced to one before any
+shuffle by their node, and get their component from a broadcast of bounded size.
 """
 
 from __future__ import annotations
@@ -60,6 +64,8 @@ def sketch(shingle_set: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Rows with their set's node and signature; a set that a task meets again has the node only, so copies stay small."""
+    seen: set[int] = set()
     for b in batches:
         ids, ths = b.column(0), b.column(1)
         n_sh, node, sig, low = [], [], [], []
@@ -69,6 +75,11 @@ def _sign(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
             if len(u):
                 with np.errstate(over="ignore"):
                     node.append(int(C.as_long(C.mix(np.array([C.mix(u).sum() + np.uint64(len(u))], np.uint64)))[0]))
+                if node[-1] in seen:
+                    sig.append(None)
+                    continue
+                if len(seen) < 200_000:
+                    seen.add(node[-1])
                 s = sketch(u)
                 low.append(s[:SYMBOLS] & np.uint64(0xFFFF))
                 sig.append(low[-1].astype("<u2").tobytes() + (s[SYMBOLS:] & np.uint64(0xFF)).astype(np.uint8).tobytes())
@@ -83,7 +94,7 @@ def _sign(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
                 key = np.stack([C.mix((m[:, _REST[t]] + np.uint64(1)) @ _K[: len(_REST[t])] * np.uint64(64) + np.uint64(t)) for t in range(SYMBOLS)], 1)
                 key = key & ~np.uint64(31) | np.arange(SYMBOLS, dtype=np.uint64)  # the low bits name the key
                 order = np.stack([(m[:, _NEXT[t]] << np.array([48, 32, 16, 0], np.uint64)).sum(1, dtype=np.uint64) for t in range(SYMBOLS)], 1)
-            at = [i for i, x in enumerate(node) if x is not None]
+            at = [i for i, x in enumerate(sig) if x is not None]
             for i, x, y in zip(at, C.as_long(key).tolist(), C.as_long(order).tolist(), strict=True):
                 keys[i], orders[i] = x, y
         yield pa.RecordBatch.from_arrays([ids, ths, pa.array(n_sh, pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(orders, pa.list_(pa.int64()))], ["doc_id", "th", "n_shingles", "node", "sig", "keys", "orders"])
@@ -252,6 +263,32 @@ def _confirm(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> I
         yield from pa.table({"a": b.column("a"), "b": b.column("b")}).filter(pa.array(ok, pa.bool_())).to_batches()
 
 
+def blocks(rows: DataFrame) -> DataFrame:
+    """``rows`` (key, node, comp, m nodes of the key) dealt over pairs of blocks of about ``BLOCK`` nodes: adds own, i and j.
+
+    Two nodes of one key and different components meet in exactly one pair (i, j) of blocks; a component with
+    ``BLOCK`` nodes or more under a key has blocks of its own there, which don't meet each other.
+    """
+    zero = F.lit(0).cast("long")
+    few = rows.where(F.col("m") <= BLOCK).select("key", "node", "comp", zero.alias("own"), zero.alias("i"), zero.alias("j"))
+    many = rows.where(F.col("m") > BLOCK)
+    sizes = many.groupBy("key", "comp").agg(F.count("*").alias("n"), F.first("m").alias("m"))
+    rest = sizes.where(F.col("n") < BLOCK).groupBy("key").agg(F.sum("n").alias("rest"))
+    big = F.col("n") >= BLOCK
+    sizes = sizes.join(rest, "key", "left").select("key", "comp", "m", big.alias("big"), F.when(big, F.col("comp")).otherwise(zero).alias("group"), F.ceil(F.when(big, F.col("n")).otherwise(F.col("rest")) / BLOCK).alias("parts"))
+    sizes = C.cut(sizes, "key-components")
+    block = lambda part: F.xxhash64("big", "group", part)
+    every = sizes.select("key", "big", "group", "parts").distinct().withColumn("part", F.explode(F.sequence(zero, F.col("parts") - 1))).select("key", "big", "group", block("part").alias("own"))
+    one, two = every.toDF("key", "big", "group", "i"), every.toDF("key", "big_2", "group_2", "j")
+    pairs = C.cut(one.join(two, "key").where((F.col("i") <= F.col("j")) & ~(F.col("big") & F.col("big_2") & (F.col("group") == F.col("group_2")))).select("key", "i", "j"), "block-pairs")
+    sides = pairs.select("key", F.col("i").alias("own"), "i", "j").union(pairs.where("i <> j").select("key", F.col("j").alias("own"), "i", "j"))
+    # a key's rows are salted, and what is known of it is repeated for each salt
+    salts = F.ceil(F.col("m") / 100_000)
+    told = sizes.withColumn("salt", F.explode(F.sequence(zero, salts - 1))).drop("m")
+    own = many.withColumn("salt", F.pmod(F.xxhash64("node"), salts)).join(told, ["key", "comp", "salt"]).select("key", "node", "comp", block(F.pmod(F.xxhash64(F.lit(2), "node"), F.col("parts"))).alias("own"))
+    return few.unionByName(own.join(sides, ["key", "own"]).select("key", "node", "comp", "own", "i", "j"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, text_hash, class_hash, kept.
 
@@ -271,15 +308,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     base = C.cut(docs.mapInArrow(lambda it: _sign(it, k), "doc_id long, th long, n_shingles long, node long, sig binary, keys array<long>, orders array<long>"), "signed")
 
     # one node for each set; th_ref finds the text of one of its rows
-    refs = base.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "th")).alias("r"))
-    refs = refs.select("node", F.col("r.doc_id").alias("ref_id"), F.col("r.th").alias("ref_th"))
-    chosen = base.select("node", "doc_id", "th", "keys", "orders").where("node is not null").alias("b").join(refs.alias("r"), F.expr("b.node = r.node and b.doc_id <=> r.ref_id and b.th = r.ref_th"))
-    chosen = chosen.select("b.node", F.arrays_zip("b.keys", "b.orders").alias("z"))
-    posts = chosen.select("node", F.explode("z").alias("z")).select(F.col("z.keys").alias("key"), "node", F.col("z.orders").alias("o"))
+    members = base.select("doc_id", "th", "n_shingles", "node")
+    refs = members.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "th")).alias("r"), F.count("*").alias("n"))
+    refs = C.cut(refs.select("node", F.col("r.doc_id").alias("ref_id"), F.col("r.th").alias("ref_th"), "n"), "refs")
+    signed = base.where("sig is not null").select("node", "sig", "keys", "orders").dropDuplicates(["node"])
+    signed = C.cut(signed, "one-each")
+    posts = signed.select("node", F.explode(F.arrays_zip("keys", "orders")).alias("z")).select(F.col("z.keys").alias("key"), "node", F.col("z.orders").alias("o"))
     posts = posts.repartitionByRange("key", "o", "node").sortWithinPartitions("key", "o", "node").select("key", "node")
     posts = C.cut(posts.mapInArrow(_chain, "key long, node long, prev long"), "posts")
 
-    sigs = C.cut(base.where("node is not null").select("node", "sig").join(posts.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "sigs")
+    sigs = C.cut(signed.select("node", "sig").join(posts.select("node").distinct(), "node", "left_semi"), "sigs")
+    C.drop(signed)
     wanted = refs.join(sigs.select("node"), "node", "left_semi")
     texts = docs.alias("d").join(wanted.alias("w"), F.expr("d.doc_id <=> w.ref_id and d.th = w.ref_th")).select("w.node", "d.text").dropDuplicates(["node"])
     texts = C.cut(texts, "texts")
@@ -310,45 +349,47 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     # keys whose nodes are not in one component yet
     marked = posts.select("key", "node").distinct().join(label.toDF("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     marked = C.cut(marked, "marked")
-    mixed = marked.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "m")
-    rows = C.cut(marked.join(mixed, "key"), "mixed")
+    sizes = C.cut(marked.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")), "key-sizes")
+    mixed = sizes.where("lo <> hi").select("key", F.col("n").alias("m"))
+    rows = C.cut(C.looked_up(marked, "key", sizes.select("key", "n"), mixed), "mixed")
     home = rows.groupBy("node").agg(F.max(F.struct("m", "key")).alias("h")).select("node", F.xxhash64("h.key", F.pmod(F.xxhash64(F.lit(1), "node"), F.ceil(F.col("h.m") / BLOCK))).alias("home"))
     home = C.cut(home, "homes")
-    q = F.ceil(F.col("m") / BLOCK).cast("int")
-    rows = rows.withColumn("q", q).join(sigs.join(home, "node"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("q")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "home", "sig")
+    dealt = C.cut(blocks(rows), "dealt")
+    rows = dealt.join(sigs.join(home, "node"), "node").select("key", "i", "j", "own", "node", "comp", "home", "sig")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     pairs = C.cut(rows.mapInArrow(lambda it: _across(it, least), "ga long, gb long, pairs binary"), "pairs")
-    blocks = pairs.select("ga", "gb").distinct()
-    sides = blocks.select("ga", "gb", F.col("ga").alias("home")).union(blocks.where("ga <> gb").select("ga", "gb", F.col("gb").alias("home")))
+    meet = pairs.select("ga", "gb").distinct()
+    sides = meet.select("ga", "gb", F.col("ga").alias("home")).union(meet.where("ga <> gb").select("ga", "gb", F.col("gb").alias("home")))
     bodies = home.join(texts, "node").join(label.toDF("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     task = sides.join(bodies, "home").select("ga", "gb", "node", "comp", "text", F.lit(None).cast("binary").alias("pairs"))
     task = task.union(pairs.select("ga", "gb", F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(None).cast("string"), "pairs"))
     task = task.repartition("ga", "gb").sortWithinPartitions("ga", "gb")
     links_3 = task.mapInArrow(lambda it: _settle(it, k, num, den), "a long, b long")
     final = components(links.union(links_3), smallest=False)
-    C.drop(label, marked, posts, sigs, home)
-
-    members = base.select("doc_id", "th", "n_shingles", "node")
-    named = members.where("node is not null").join(final, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    named = C.cut(named.select("doc_id", "th", "n_shingles", "comp"), "named")
-    low = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    out = named.join(low, "comp").select("doc_id", "n_shingles", "component_id", F.col("th").alias("text_hash"), F.col("comp").alias("class_hash"))
+    C.drop(label, marked, posts, sigs, home, sizes, dealt)
+
+    # labels by node first: copies are many rows, but one node
+    named = C.cut(refs.join(final, "node", "left").select("node", "ref_id", "n", F.coalesce("comp", "node").alias("comp")), "named")
+    low = named.groupBy("comp").agg(F.min("ref_id").alias("component_id"), F.count("*").alias("n"))
+    low = C.cut(low, "lowest")
+    named = C.cut(C.looked_up(named.select("node", "comp"), "comp", low.select("comp", "n"), low.drop("n")), "named-nodes")
+    out = C.looked_up(members.where("node is not null"), "node", refs.select("node", "n"), named)
+    out = out.select("doc_id", "n_shingles", "component_id", F.col("th").alias("text_hash"), F.col("comp").alias("class_hash"))
     alone = members.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("th").alias("text_hash"), F.lit(None).cast("long").alias("class_hash"))
-    C.drop(texts, links, pairs, final)
+    C.drop(texts, links, pairs, final, low)
     return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def without_near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with one row of each component of ``near_duplicates`` left, with the smallest id; rows without words all stay.
 
-    Of rows that share that id, the one with the smallest hash of its text stays, and
-    of equal rows one.  All columns are kept.
+    Of rows that share that id, the one with the smallest hash of its text stays, and of these the one with the
+    smallest hash of all its columns; of equal rows one.  A null or empty text stays; of null ids the
+    operator's rule holds.  All columns are kept, whatever their names.
     """
     found = near_duplicates(docs, k, num, den, id_col, text_col)
-    stay = found.where("kept and class_hash is not null").groupBy("class_hash", "doc_id").agg(F.min("text_hash").alias("_stay_hash")).select(F.col("doc_id").alias("_stay_id"), "_stay_hash")
+    stay = found.where("kept and class_hash is not null").groupBy("class_hash", "doc_id").agg(F.min("text_hash").alias("stay_hash")).select(F.col("doc_id").alias("stay_id"), "stay_hash")
     words = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    rows = docs.withColumns({"_row_id": F.col(id_col).cast("long"), "_row_hash": F.xxhash64(text_col)})
-    linked = rows.where(words).join(stay, F.col("_row_id").eqNullSafe(F.col("_stay_id")) & (F.col("_row_hash") == F.col("_stay_hash")))
-    return linked.dropDuplicates(["_row_id", "_row_hash"]).select(*docs.columns).union(docs.where(~words))
+    rows = docs.where(words).select(F.col(id_col).cast("long").alias("row_id"), F.xxhash64(text_col).alias("row_hash"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    linked = rows.join(stay, F.col("row_id").eqNullSafe(F.col("stay_id")) & (F.col("row_hash") == F.col("stay_hash")))
+    return linked.groupBy("row_id", "row_hash").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row.*").union(docs.where(~words))
