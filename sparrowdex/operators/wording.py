@@ -7,41 +7,42 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Grades, rule types and sentences of the report format.
+# The grades.
 STRONG, WEAK, MISS = "STRONG PASS", "WEAK PASS", "MISS"
+#: The engine's own sentences, by what they are said of.
 FAILURES = {
-    "nothing": "No retrieval results returned",
-    "source": "Top result came from the wrong source ({source}) for this query",
-    "versioned": "Top result was versioned duplicate noise: {path}",
-    "wrapper": "Top result appears dominated by MDX wrapper content: {path}",
-    "disallowed": "Top result came from an explicitly disallowed path: {path}",
-    "paths": "Wrong chunk surfaced for the query; none of the preferred or acceptable paths matched within top {n}",
-    "weak": "Weak lexical match; no preferred or acceptable target matched",
+    "nothing": "The search found nothing.",
+    "source": "The first result is from {source}, which this case doesn't prefer.",
+    "versioned": "The first result is a copy in a versioned folder: {path}",
+    "wrapper": "The first result is markup more than text: {path}",
+    "disallowed": "The first result is from a path that this case rules out: {path}",
+    "paths": "None of the {n} results is from a path that this case names.",
+    "weak": "No result has anything that this case asks for.",
 }
 RANKINGS = {
-    "source_later": "Preferred source {source} was present at rank {rank}, but rank 1 came from {top}. This is a source-selection issue, not a recall issue.",
-    "source_absent": "Top result came from {top}, but the preferred source is {source}.",
-    "preferred_later": "Preferred result was retrieved at rank {rank}; top-1 ranking still needs improvement.",
-    "no_match": "No preferred or acceptable target matched in the retrieved set; inspect top lexical hits for query drift.",
-    "no_candidates": "No candidates were retrieved.",
-    "later": "Correct target was retrieved at rank {rank}, so ranking headroom remains.",
+    "source_later": "{source} is preferred and comes at rank {rank}, behind {top}: found, but ordered badly.",
+    "source_absent": "{source} is preferred, and the first result is from {top}.",
+    "preferred_later": "A preferred result comes at rank {rank} only.",
+    "no_match": "There are results, and none of them matches.",
+    "no_candidates": "There are no results to order.",
+    "later": "A match comes at rank {rank} only.",
 }
 BUNDLES = {
-    "absent": "no context bundle was produced",
-    "path": "bundle path matched preferred target",
-    "no_path": "bundle path did not match preferred target",
-    "primary": "bundle primary source: {source}",
-    "preferred": "bundle source matched preferred source: {sources}",
-    "not_preferred": "bundle source did not match preferred source",
-    "acceptable": "bundle source matched acceptable source: {sources}",
-    "mixed": "bundle mixed sources: {sources}",
-    "present": "required headings present: {headings}",
-    "missing": "missing required headings: {headings}",
-    "over": "bundle exceeded token budget ({n}>{budget})",
-    "redundant": "bundle contains {n} duplicate chunk(s)",
-    "small": "bundle is very small",
-    "cut": "bundle was truncated to fit the budget",
-    "fine": "bundle contained the primary section within budget",
+    "absent": "there is no bundle",
+    "path": "a named path is in the bundle",
+    "no_path": "no named path is in the bundle",
+    "primary": "the match is from {source}",
+    "preferred": "has preferred sources ({sources})",
+    "not_preferred": "has no preferred source",
+    "acceptable": "has acceptable sources ({sources})",
+    "mixed": "mixes sources ({sources})",
+    "present": "has the headings {headings}",
+    "missing": "lacks the headings {headings}",
+    "over": "takes {n} tokens of {budget}",
+    "redundant": "repeats {n} of its parts",
+    "small": "holds very little",
+    "cut": "holds a part of the match only",
+    "fine": "holds the match within its budget",
 }
 CONTRACT = {"ranking": "Rank {rank} {source} bundle from {place}.", "support": " Added support for {reason}.", "title": "{title} — {place}", "summary": "{title} — {place}: {point}"}
 

@@ -13,34 +13,53 @@ from ..operators import evaluation as E
 SUFFIXES = ("md", "markdown", "mdx")
 
 
-def _underscored(spark: SparkSession, root: str) -> list[str]:
-    """Folders below ``root`` whose name begins with an underscore, which Spark's listing would pass over; none in folders that begin with a dot."""
-    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+#: Bytes of files with hidden names that the driver reads itself at most.
+HIDDEN_BYTES = 64 << 20
+
+
+def _hidden(spark: SparkSession, root: str) -> tuple[list[str], list[tuple[str, str, int]]]:
+    """What Spark's listing would pass over below ``root``, outside folders that begin with a dot.
+
+    Folders whose name begins with an underscore, and (path, text, milliseconds of change) of markdown files whose name begins with an
+    underscore or a dot; an error where these files have more than ``HIDDEN_BYTES``.
+    """
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
     fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    out, open_ = [], [top]
+    folders, texts, size, open_ = [], [], 0, [top]
     while open_:
         for status in fs.listStatus(open_.pop()):
-            name = status.getPath().getName()
+            path = status.getPath()
+            name = path.getName()
             if status.isDirectory() and not name.startswith("."):
-                open_.append(status.getPath())
+                open_.append(path)
                 if name.startswith("_"):
-                    out.append(status.getPath().toString())
-    return out
+                    folders.append(path.toString())
+            elif status.isFile() and name[0] in "._" and name.lower().endswith(tuple(f".{x}" for x in SUFFIXES)):
+                size += status.getLen()
+                if size > HIDDEN_BYTES:
+                    raise ValueError(f"files with hidden names below {root} have more than {HIDDEN_BYTES} bytes")
+                stream = fs.open(path)
+                texts.append((path.toUri().getPath(), bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8"), status.getModificationTime()))
+                stream.close()
+    return folders, texts
 
 
 def markdown_tree(spark: SparkSession, root: str) -> DataFrame:
     """(source_path, raw, modified) of the markdown files below ``root``, by their path within it; nothing in folders whose name begins with a dot.
 
-    The driver lists folders, executors read the files.  Files whose own name begins with a dot or an underscore are not
-    read, as Spark's readers take them for hidden.
+    The driver lists folders, executors read the files; only files whose own name begins with a dot or an underscore, which
+    Spark's readers take for hidden, are read by the driver, up to ``HIDDEN_BYTES`` of them.  Bytes that aren't UTF-8 are an error.
     """
-    files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).load([root, *_underscored(spark, root)])
+    folders, texts = _hidden(spark, root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([root, *folders])
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    rows = files.select(F.regexp_replace(path, r"^[a-z0-9]+:/+", "/").alias("path"), F.col("value").alias("raw"), F.col("_metadata.file_modification_time").alias("modified"))
+    rows = files.select(F.regexp_replace(path, r"^[a-z0-9]+:/+", "/").alias("path"), F.col("content"), F.col("modificationTime").alias("modified"))
+    few = spark.createDataFrame(texts, "path string, raw string, at long").select("path", F.col("raw").cast("binary").alias("content"), F.timestamp_millis("at").alias("modified"))
     base = root.split("://", 1)[-1].rstrip("/") + "/"
-    rows = rows.withColumn("source_path", F.substring_index("path", base, -1))
+    rows = rows.unionByName(few).withColumn("source_path", F.substring_index("path", base, -1))
     kept = F.lower(F.col("source_path")).rlike(r"\.(" + "|".join(SUFFIXES) + ")$") & ~F.col("source_path").rlike(r"(^|/)\.[^/]*/")
-    return rows.where(kept).select("source_path", "raw", "modified")
+    return rows.where(kept).select("source_path", F.decode("content", "UTF-8").alias("raw"), "modified")
 
 
 def window_json(html: Column, name: str) -> Column:

@@ -178,8 +178,19 @@ def test_markdown_tree(spark, tmp_path):
     for p in ("a.md", "sub dir/b.MDX", "sub/c.markdown", ".git/d.md", "sub/.hidden/e.md", "f.txt", ".dot.md", "_files/g.md", "sub/_files/deep/_more/h.md", ".git/_x/i.md"):
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / p).write_text(f"# {p}\n\ntext\n")
+    (tmp_path / "sub" / "_ünder.md").write_text("# sub/_ünder.md\n\ntext\n")
     rows = S.markdown_tree(spark, str(tmp_path)).collect()
-    assert {r.source_path: r.raw for r in rows} == {p: f"# {p}\n\ntext\n" for p in ("a.md", "sub dir/b.MDX", "sub/c.markdown", "_files/g.md", "sub/_files/deep/_more/h.md")}
+    assert {r.source_path: r.raw for r in rows} == {p: f"# {p}\n\ntext\n" for p in ("a.md", "sub dir/b.MDX", "sub/c.markdown", ".dot.md", "sub/_ünder.md", "_files/g.md", "sub/_files/deep/_more/h.md")}
+    assert all(r.modified is not None for r in rows)
+
+
+def test_markdown_that_is_not_utf8_is_an_error(spark, tmp_path):
+    import pytest
+    from pyspark.errors import PySparkException
+
+    (tmp_path / "a.md").write_bytes(b"# caf\xe9\n")
+    with pytest.raises(PySparkException):
+        S.markdown_tree(spark, str(tmp_path)).collect()
 
 
 def test_eval_cases_and_artifacts(spark, tmp_path):
