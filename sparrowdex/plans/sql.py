@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from ..functions import text as T
 from ..operators import chunking, parsing
+from ..operators import wording as W
 from . import default_rules as D
 
 PIECE = T.PIECE
@@ -88,6 +91,12 @@ def canonical(path: str) -> str:
     return rf"regexp_replace(regexp_replace({strip(path)}, '^[./]+', ''), '^versioned_docs/version-[^/]+/(.)', '\1')"
 
 
+def said(sentence: str, **values: str) -> str:
+    """A sentence with expressions in its places; null if one of them is."""
+    parts = re.split(r"\{(\w+)\}", sentence)
+    return "(" + " || ".join(quoted(x) if i % 2 == 0 else f"({values[x]})::VARCHAR" for i, x in enumerate(parts) if x or i == 0) + ")"
+
+
 def slug(c: str) -> str:
     s = f"regexp_replace(regexp_replace(lower({strip(c)}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
     return f"CASE WHEN coalesce({s}, '') = '' THEN 'page' ELSE {s} END"
@@ -95,11 +104,44 @@ def slug(c: str) -> str:
 
 # ------------------------------------------------------------- shared relations
 
+
+
+def folded(name: str, sections: str, most: int, overlap: int) -> str:
+    """Relation ``name`` (sid, chunk_order, content, start_offset, end_offset): the chunks of ``sections`` (sid, prefix, content).
+
+    A step of the recursion takes one part of every section: it joins the open chunk or closes it.
+    """
+    p = lambda x: f"{name}_{x}"
+    room = f"greatest({most} - {tokens('prefix')} - {overlap} - 1, 1)"
+    piece = lambda i: f"(({i}) * n // k)"
+    left, right = r"regexp_replace({}, '^\s+', '')", r"regexp_replace({}, '\s+$', '')"
+    text = f"CASE WHEN i = 0 THEN {left.format('raw')} ELSE raw END"
+    body = lambda held: f"prefix || CASE WHEN overlap = '' THEN {held} ELSE overlap || chr(10) || chr(10) || {held} END"
+    rest = "CASE WHEN starts_with(out, prefix) THEN out[length(prefix) + 1:] ELSE out END"
+    tail = strip(f"array_to_string({pieces(rest)}[greatest(len({pieces(rest)}) - {overlap} + 1, 1):], '')") if overlap else "''"
+    return f"""
+{p('in')} AS (SELECT sid, CASE WHEN {tokens('prefix')} >= {most} THEN '' ELSE prefix END AS prefix, content FROM {sections}),
+{p('blocks')} AS (SELECT sid, prefix, unnest(b) AS block, unnest(generate_series(1, len(b))) AS bn FROM (SELECT sid, prefix, string_split(content, chr(10) || chr(10)) AS b FROM {p('in')})),
+{p('placed')} AS (SELECT *, coalesce(sum(length(block) + 2) OVER (PARTITION BY sid ORDER BY bn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS place FROM {p('blocks')}),
+{p('cut')} AS (SELECT sid, bn, place, w, len(w) AS n, greatest(ceil(len(w) / {room})::INT, 1) AS k FROM (SELECT *, {pieces('block')} AS w FROM {p('placed')} WHERE {strip('block')} <> '')),
+{p('raw')} AS (SELECT sid, bn, k, i, array_to_string(w[{piece('i')} + 1:{piece('i + 1')}], '') AS raw, place + length(array_to_string(w[1:{piece('i')}], '')) AS s FROM (SELECT *, unnest(generate_series(0, k - 1)) AS i FROM {p('cut')})),
+{p('parts')} AS MATERIALIZED (SELECT sid, row_number() OVER (PARTITION BY sid ORDER BY bn, i) AS no, CASE WHEN i = k - 1 THEN {right.format(text)} ELSE {text} END AS text, i > 0 AS more, s, s + length(raw) AS e FROM {p('raw')}),
+{p('n')} AS MATERIALIZED (SELECT sid, any_value(prefix) AS prefix, count(no) AS n FROM {p('in')} LEFT JOIN {p('parts')} USING (sid) GROUP BY sid),
+{p('steps')} AS (SELECT sid, 0::BIGINT AS i, NULL::VARCHAR AS texts, NULL::INT AS s, NULL::INT AS e, ''::VARCHAR AS overlap, 0::INT AS ord, NULL::VARCHAR AS c, NULL::INT AS c_ord, NULL::INT AS c_s, NULL::INT AS c_e FROM {p('n')}
+ UNION ALL SELECT sid, i + 1, CASE WHEN fits THEN held WHEN ended THEN NULL ELSE nullif(fresh, '') END, CASE WHEN fits THEN coalesce(s, ps) WHEN fresh <> '' THEN ps END, CASE WHEN fits OR fresh <> '' THEN pe END,
+ CASE WHEN fits OR out IS NULL THEN overlap WHEN low THEN '' ELSE {tail} END, CASE WHEN fits OR out IS NULL OR low THEN ord ELSE ord + 1 END, CASE WHEN NOT (fits OR low) THEN out END, ord, s, e
+ FROM (SELECT *, CASE WHEN out IS NOT NULL THEN {low_signal('out')} END AS low FROM (SELECT *, CASE WHEN NOT fits AND texts IS NOT NULL THEN {strip(body('texts'))} END AS out, CASE WHEN NOT fits THEN {left.format('ptext')} END AS fresh
+ FROM (SELECT *, NOT ended AND {tokens(body('held'))} <= {most} AS fits FROM (SELECT r.*, m.prefix, p.text AS ptext, p.s AS ps, p.e AS pe, p.no IS NULL AS ended, CASE WHEN r.texts IS NULL THEN p.text WHEN p.more THEN r.texts || p.text ELSE r.texts || chr(10) || chr(10) || p.text END AS held
+ FROM {p('steps')} r JOIN {p('n')} m USING (sid) LEFT JOIN {p('parts')} p ON p.sid = r.sid AND p.no = r.i + 1 WHERE r.i <= m.n))))),
+{name} AS MATERIALIZED (SELECT sid, c_ord AS chunk_order, c AS content, c_s AS start_offset, c_e AS end_offset FROM {p('steps')} WHERE c IS NOT NULL)"""
+
+
 CHUNKS = f"""
 docs AS (SELECT doc_id, source, 'docs/' || coalesce(source, 'none') || '/' || doc_id || '.md' AS source_path, sha1('document::docs/' || coalesce(source, 'none') || '/' || doc_id || '.md') AS document_id, {strip("coalesce(text, '')")} AS body FROM documents WHERE doc_id IS NOT NULL),
 secs AS (SELECT *, sha1('section::' || document_id || '::0::__root__') AS section_id FROM docs WHERE body <> ''),
-cut AS (SELECT *, {truncated('body', '400')} AS content FROM secs),
-chunks AS (SELECT sha1('chunk::' || section_id || '::0::' || content) AS id, section_id, document_id, doc_id, source, source_path, 'Document ' || doc_id AS title, body, content, {tokens('content')} AS token_count FROM cut WHERE NOT {low_signal('content')})"""
+asec AS (SELECT section_id AS sid, '' AS prefix, body AS content FROM secs),
+{folded("cut", "asec", 400, 60).strip()},
+chunks AS MATERIALIZED (SELECT sha1('chunk::' || section_id || '::' || chunk_order || '::' || content) AS id, section_id, document_id, doc_id, source, source_path, 'Document ' || doc_id AS title, chunk_order, start_offset, end_offset, content, {tokens('content')} AS token_count FROM secs JOIN cut ON sid = section_id)"""
 
 PROFILES = f"""
 asked AS (SELECT 'b' || item_id AS qid, coalesce(text, '') AS raw_query, list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_]+'), lambda x: lower(x)) AS w FROM benchmark WHERE item_id IS NOT NULL),
@@ -156,13 +198,14 @@ sig2 AS (SELECT *, len(list_filter(expanded, lambda t: contains(path_text, t) OR
 sig3 AS (SELECT *, focus - title_overlap AS focus_lead FROM sig2),
 sig4 AS (SELECT *, {D.CANONICAL[0]}::DOUBLE AS canonical_bonus, {', '.join(f'{rule_total(r)} AS {n}' for n, r in totals.items())}, 0.0::DOUBLE AS anchor_bonus FROM sig3),
 signals AS (SELECT *, lexical_score + {' + '.join(f'{c} * {float(w)}::DOUBLE' for c, w in D.WEIGHTS.items())} + {' + '.join(order)} AS weighted_score FROM sig4),
-results AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY weighted_score DESC, score, token_count, chunk_id) AS rank FROM signals QUALIFY rank <= 5)"""
+single AS (SELECT * FROM signals QUALIFY row_number() OVER (PARTITION BY qid, source_path ORDER BY weighted_score DESC, score, token_count, chunk_id) = 1),
+results AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY weighted_score DESC, score, token_count, chunk_id) AS rank FROM single QUALIFY rank <= 5)"""
 
 
 SIGNALS = _signals()
 _SHOWN = ("title_overlap", "section_overlap", "heading_overlap", "path_overlap", "title_phrase_hits", "section_phrase_hits", "heading_phrase_hits", "path_phrase_hits", "context_hits", "exact_heading_phrase", "exact_title_phrase", "intent", "canonical_bonus", "subsystem_bonus", "concept_page_bonus", "plugin_type_penalty", "family_bonus", "section_focus_bonus", "incidental_penalty", "example_penalty", "quality_adjustment", "generic_penalty", "anchor_bonus")
 
-GRADED = """
+GRADED = f"""
 cases AS (SELECT 'b' || item_id AS id, item_id, text AS query, CASE WHEN item_id % 5 > 0 THEN 'bucket' || (item_id % 5) END AS bucket, CASE WHEN item_id % 2 = 0 THEN 'even' END AS query_style, 'c' || (item_id % 3) AS concept_id,
  CASE WHEN item_id % 3 = 0 THEN ['src' || (item_id % 20), 'src0'] ELSE []::VARCHAR[] END AS psn, CASE WHEN item_id % 3 = 1 THEN ['src' || ((item_id + 1) % 20), 'src' || ((item_id + 2) % 20), 'src0'] ELSE []::VARCHAR[] END AS asn,
  CASE WHEN item_id % 3 = 2 THEN ['docs/src1'] ELSE []::VARCHAR[] END AS pdp, CASE WHEN item_id % 3 = 2 THEN ['7.md'] ELSE []::VARCHAR[] END AS adp, CASE WHEN item_id % 7 = 0 THEN ['docs/src3/'] ELSE []::VARCHAR[] END AS ddp FROM benchmark WHERE item_id IS NOT NULL),
@@ -175,14 +218,14 @@ hit AS (SELECT qid, rank AS hit_rank, source_path AS hit_path, source_name AS hi
  FROM graded WHERE grade <> 'MISS' QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rank) = 1),
 tops AS (SELECT qid, count(*) AS n, arg_min(source_path, rank) AS top_path, arg_min(source_name, rank) AS top_source, arg_min(content, rank) AS top_content, min(CASE WHEN list_contains(psn, source_name) THEN rank END) AS psr FROM graded GROUP BY qid),
 outcomes AS (SELECT c.id AS case_id, c.bucket, c.query_style, c.concept_id, coalesce(psn[1], asn[1]) AS expected_source_name, asn, coalesce(hit_grade, 'MISS') AS grade, hit_rank, hit_path, hit_source, rule, matched_on, psr,
- CASE WHEN hit_grade IS NULL THEN CASE WHEN coalesce(n, 0) = 0 THEN 'No retrieval results returned' WHEN len(psn) > 0 AND top_source IS NOT NULL AND NOT list_contains(psn, top_source) THEN 'Top result came from the wrong source (' || top_source || ') for this query'
-  WHEN starts_with(top_path, 'versioned_docs/') THEN 'Top result was versioned duplicate noise: ' || top_path WHEN contains(top_content, 'import ') OR (contains(top_content, '<') AND contains(top_content, '/>')) THEN 'Top result appears dominated by MDX wrapper content: ' || top_path
-  WHEN len(list_filter(ddp, lambda x: contains(lower(top_path), lower(x)))) > 0 THEN 'Top result came from an explicitly disallowed path: ' || top_path
-  WHEN len(pdp) + len(adp) > 0 THEN 'Wrong chunk surfaced for the query; none of the preferred or acceptable paths matched within top ' || n ELSE 'Weak lexical match; no preferred or acceptable target matched' END END AS failure_summary,
- CASE WHEN len(psn) > 0 AND n > 0 AND NOT coalesce(list_contains(psn, top_source), false) AND psr IS NOT NULL THEN 'Preferred source ' || psn[1] || ' was present at rank ' || psr || ', but rank 1 came from ' || coalesce(top_source, 'None') || '. This is a source-selection issue, not a recall issue.'
-  WHEN len(psn) > 0 AND n > 0 AND NOT coalesce(list_contains(psn, top_source), false) THEN 'Top result came from ' || coalesce(top_source, 'None') || ', but the preferred source is ' || psn[1] || '.'
-  WHEN hit_grade = 'STRONG PASS' AND hit_rank > 1 THEN 'Preferred result was retrieved at rank ' || hit_rank || '; top-1 ranking still needs improvement.' WHEN hit_grade IS NULL AND n > 0 THEN 'No preferred or acceptable target matched in the retrieved set; inspect top lexical hits for query drift.'
-  WHEN hit_grade IS NULL THEN 'No candidates were retrieved.' WHEN hit_rank > 1 THEN 'Correct target was retrieved at rank ' || hit_rank || ', so ranking headroom remains.' END AS ranking_diagnostic
+ CASE WHEN hit_grade IS NULL THEN CASE WHEN coalesce(n, 0) = 0 THEN {said(W.FAILURES['nothing'])} WHEN len(psn) > 0 AND top_source IS NOT NULL AND NOT list_contains(psn, top_source) THEN {said(W.FAILURES['source'], source='top_source')}
+  WHEN starts_with(top_path, 'versioned_docs/') THEN {said(W.FAILURES['versioned'], path='top_path')} WHEN contains(top_content, 'import ') OR (contains(top_content, '<') AND contains(top_content, '/>')) THEN {said(W.FAILURES['wrapper'], path='top_path')}
+  WHEN len(list_filter(ddp, lambda x: contains(lower(top_path), lower(x)))) > 0 THEN {said(W.FAILURES['disallowed'], path='top_path')}
+  WHEN len(pdp) + len(adp) > 0 THEN {said(W.FAILURES['paths'], n='n')} ELSE {said(W.FAILURES['weak'])} END END AS failure_summary,
+ CASE WHEN len(psn) > 0 AND n > 0 AND NOT coalesce(list_contains(psn, top_source), false) AND psr IS NOT NULL THEN {said(W.RANKINGS['source_later'], source='psn[1]', rank='psr', top="coalesce(top_source, 'None')")}
+  WHEN len(psn) > 0 AND n > 0 AND NOT coalesce(list_contains(psn, top_source), false) THEN {said(W.RANKINGS['source_absent'], source='psn[1]', top="coalesce(top_source, 'None')")}
+  WHEN hit_grade = 'STRONG PASS' AND hit_rank > 1 THEN {said(W.RANKINGS['preferred_later'], rank='hit_rank')} WHEN hit_grade IS NULL AND n > 0 THEN {said(W.RANKINGS['no_match'])}
+  WHEN hit_grade IS NULL THEN {said(W.RANKINGS['no_candidates'])} WHEN hit_rank > 1 THEN {said(W.RANKINGS['later'], rank='hit_rank')} END AS ranking_diagnostic
  FROM cases c LEFT JOIN tops t ON t.qid = c.id LEFT JOIN hit h ON h.qid = c.id)"""
 
 REPORT = """
@@ -218,7 +261,12 @@ up AS (SELECT a.source_path, a.part, string_agg(b.heading, ' > ' ORDER BY b.part
 
 
 def _clean(text: str) -> str:
-    bad = " OR ".join(f"regexp_matches(x, {quoted(p)})" for p in parsing.DROPPED)
+    """Content of a section's lines, for texts without fenced code."""
+    t = strip("x")
+    signs = f"regexp_replace(translate({t}, {quoted(parsing.SIGNS)}, ''), '\\s', '', 'g') = ''"
+    module = f"list_contains({strings(parsing.MODULE_WORDS)}, string_split_regex({t}, '\\s')[1]) AND regexp_matches({t}, '\\s')"
+    tag = f"regexp_matches(x, {quoted(T.COMPONENT_LINE)}) OR regexp_matches(lower({t}), '^<[/]?({'|'.join(parsing.FOLDING_TAGS)})\\b[^>]*>$')"
+    bad = f"(starts_with({t}, '<!--') AND ends_with({t}, '-->')) OR ({module}) OR {tag} OR {signs}"
     lines = f"list_transform(list_filter(string_split({text}, chr(10)), lambda x: trim(x) = '' OR NOT ({bad})), lambda x: rtrim(x))"
     return strip(rf"regexp_replace(array_to_string({lines}, chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g')")
 
@@ -236,7 +284,7 @@ def _wiki(c: str) -> str:
 
 
 def with_(relations: str, select: str) -> str:
-    return f"WITH {relations.strip()}\n{select}"
+    return f"WITH RECURSIVE {relations.strip()}\n{select}"
 
 
 def twins() -> dict[str, str]:
@@ -255,12 +303,15 @@ def twins() -> dict[str, str]:
         "SELECT 'user_docs/conversation-' || conv_id || '.wiki' AS source_path, 'https://wiki.example.org/Conversation_' || conv_id AS source_url, (row_number() OVER (PARTITION BY conv_id ORDER BY k) - 1)::INT AS section_order, coalesce(role, 'Conversation ' || conv_id) AS section_title, CASE WHEN role IS NULL THEN 0 ELSE 2 END AS heading_level, 'Conversation ' || conv_id || coalesce(' > ' || role, '') AS heading_path, sha1(content) AS content_hash FROM ct",
     )
     out["event_properties"] = "SELECT event_type, count(*) AS n, sum((props->>'$.k')::BIGINT)::BIGINT AS k_sum, count(*) FILTER (WHERE (props->>'$.k') IS NULL) AS without_k FROM events GROUP BY event_type"
-    out["chunk_rows"] = with_(CHUNKS, "SELECT id, section_id, 0 AS chunk_order, token_count, 0 AS start_offset, length(body)::INT AS end_offset, NULL::VARCHAR AS prev_chunk_id, NULL::VARCHAR AS next_chunk_id, source_path, sha1(content) AS content_hash FROM chunks")
-    prefix = "('Heading: ' || title || ' > ' || role || chr(10) || chr(10))"
-    fitted = f"CASE WHEN {tokens(f'{prefix} || content')} <= 400 THEN content ELSE {truncated('content', f'greatest(400 - {tokens(prefix)}, 1)')} END"
+    out["chunk_rows"] = with_(CHUNKS, "SELECT id, section_id, chunk_order, token_count, start_offset, end_offset, lag(id) OVER w AS prev_chunk_id, lead(id) OVER w AS next_chunk_id, source_path, sha1(content) AS content_hash FROM chunks WINDOW w AS (PARTITION BY document_id ORDER BY chunk_order)")
     out["chunk_links"] = with_(
-        f"{TURNS}, ck AS (SELECT *, {strip(f'{prefix} || ({fitted})')} AS body FROM csec), ck2 AS (SELECT source_path, k, sha1('chunk::' || section_id || '::0::' || body) AS id, {tokens('body')} AS token_count FROM ck WHERE NOT {low_signal('body')})",
-        "SELECT source_path, id, 0 AS chunk_order, lag(id) OVER w AS prev_chunk_id, lead(id) OVER w AS next_chunk_id, token_count FROM ck2 WINDOW w AS (PARTITION BY source_path ORDER BY k)",
+        f"{TURNS}, tsec AS (SELECT section_id AS sid, 'Heading: ' || title || ' > ' || role || chr(10) || chr(10) AS prefix, content FROM csec), {folded('tcut', 'tsec', 400, 60).strip()}, ck AS (SELECT source_path, k, chunk_order, sha1('chunk::' || sid || '::' || chunk_order || '::' || t.content) AS id, {tokens('t.content')} AS token_count FROM tcut t JOIN csec ON sid = section_id)",
+        "SELECT source_path, id, chunk_order, lag(id) OVER w AS prev_chunk_id, lead(id) OVER w AS next_chunk_id, token_count FROM ck WINDOW w AS (PARTITION BY source_path ORDER BY k, chunk_order)",
+    )
+    out["page_chunks"] = with_(
+        f"{HTML}, hs AS (SELECT p.source_path, p.section_order, p.content, page || coalesce(' > ' || above, '') AS heading_path, sha1('section::' || sha1('document::' || p.source_path) || '::' || p.section_order || '::' || replace(page || coalesce(' > ' || above, ''), ' > ', '/')) AS section_id FROM pt2 p LEFT JOIN up u ON u.source_path = p.source_path AND u.part = p.part WHERE p.content <> ''),"
+        f" hsec AS (SELECT section_id AS sid, 'Heading: ' || heading_path || chr(10) || chr(10) AS prefix, content FROM hs), {folded('hcut', 'hsec', 120, 20).strip()}, hk AS (SELECT source_path, section_order, chunk_order, sha1('chunk::' || sid || '::' || chunk_order || '::' || t.content) AS id, t.content, start_offset, end_offset, {tokens('t.content')} AS token_count FROM hcut t JOIN hs ON sid = section_id)",
+        "SELECT source_path, id, chunk_order, token_count, start_offset, end_offset, lag(id) OVER w AS prev_chunk_id, lead(id) OVER w AS next_chunk_id, content FROM hk WINDOW w AS (PARTITION BY source_path ORDER BY section_order, chunk_order)",
     )
     out["stats_overview"] = with_(CHUNKS, "SELECT (SELECT count(*) FROM docs) AS documents, (SELECT count(*) FROM secs) AS sections, count(*) AS chunks, coalesce(avg(token_count), 0.0) AS avg_chunk_tokens FROM chunks")
     out["stats_chunks_per_document"] = with_(CHUNKS, "SELECT d.source_path, 'Document ' || d.doc_id AS title, count(c.id) AS chunk_count FROM docs d LEFT JOIN chunks c USING (section_id) GROUP BY ALL ORDER BY chunk_count DESC, source_path LIMIT 25".replace("USING (section_id)", "ON c.document_id = d.document_id"))
