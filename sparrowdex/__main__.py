@@ -68,9 +68,9 @@ def _ingest(spark: SparkSession, a: argparse.Namespace, store: Store) -> list[di
 def _query(spark: SparkSession, a: argparse.Namespace, store: Store) -> list[dict]:
     asked, chunks = spark.createDataFrame([("q", a.text)], "qid string, raw_query string"), store.read("chunks")
     if a.json_contract:
-        e = engine.contracts(asked, chunks, a.top_k, a.include_previous, a.include_next, a.bundle_max_tokens)
+        e = engine.contracts(asked, store, a.top_k, a.include_previous, a.include_next, a.bundle_max_tokens)
         return [json.loads(r.json) for r in contract.as_json(e).collect()]
-    results, profiles = engine.search(asked, chunks, a.top_k)
+    results, profiles = engine.search(asked, store, a.top_k)
     if a.context_bundle:
         return _dicts(B.bundles(engine.kept(results), engine.kept(profiles), chunks, a.include_previous, a.include_next, a.bundle_max_tokens).orderBy("rank"))
     return _dicts((results if a.explain else results.drop("breakdown")).orderBy("rank"))
@@ -104,7 +104,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     else:
         cases = files.eval_cases(spark, a.cases)
         base = evaluation.report(files.report_artifact(spark, a.baseline)) if a.baseline else None
-        made = engine.kept(engine.evaluate(cases, store.read("chunks"), a.command == "verify" or a.with_bundles, a.bundle_max_tokens))
+        made = engine.kept(engine.evaluate(cases, store, a.command == "verify" or a.with_bundles, a.bundle_max_tokens))
         report = evaluation.report(made)
         if a.command == "eval" and not a.json:
             print(engine.render(report, a.markdown))

@@ -11,15 +11,45 @@ from ..functions import text as T
 
 K1, B = 1.2, 0.75
 FIELDS = ("content", "source_path", "document_title", "heading_path")
+#: A place is the field's number times this, and the position within the field.
+FIELD = 1 << 32
+#: Terms of a search up to which the scan of the postings is told which terms to read.
+FEW = 2000
 
 
 @dataclass(frozen=True)
 class Index:
-    """occurrences (term, chunk_id, field, pos), lengths (chunk_id, dl) and the corpus' row (n, avgdl)."""
+    """postings (term, chunk_id, dl, tf, places), terms (term, df) and the corpus' row (n, avgdl).
 
-    occurrences: DataFrame
-    lengths: DataFrame
+    ``dl`` is the chunk's length in terms, ``places`` its sorted places of the term.  ``buckets``: how
+    many buckets a stored table of postings has, by a hash of the term; none where it isn't stored.
+    """
+
+    postings: DataFrame
+    terms: DataFrame
     corpus: DataFrame
+    buckets: int | None = None
+
+    def of(self, wanted: DataFrame) -> DataFrame:
+        """The postings that may be of the ``wanted`` terms (term): for few terms, only their buckets and row groups are read."""
+        few = [r.term for r in wanted.select("term").distinct().limit(FEW + 1).collect()]
+        if len(few) > FEW:
+            return self.postings
+        rows = self.postings
+        if self.buckets is not None:
+            rows = rows.where(F.col("bucket").isin(sorted({bucket(t, self.buckets) for t in few})))
+        return rows.where(F.col("term").isin(sorted(few)))
+
+
+def bucket(term: str, buckets: int) -> int:
+    """The bucket of a term, as ``bucket_of``."""
+    import zlib
+
+    return zlib.crc32(term.encode()) % buckets
+
+
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.crc32(term.cast("binary")), F.lit(buckets)).cast("int")
 
 
 def field_columns(chunks: DataFrame) -> DataFrame:
@@ -29,16 +59,19 @@ def field_columns(chunks: DataFrame) -> DataFrame:
 
 def build(chunks: DataFrame) -> Index:
     """Index all chunks by the terms of their four fields."""
-    rows = field_columns(chunks).select("chunk_id", F.array(*(F.struct(F.lit(i).alias("field"), T.index_terms(F.col(f)).alias("terms")) for i, f in enumerate(FIELDS))).alias("fields"))
-    lengths = rows.select("chunk_id", F.aggregate("fields", F.lit(0).cast("long"), lambda n, f: n + F.size(f["terms"])).alias("dl"))
-    terms = rows.select("chunk_id", F.explode("fields").alias("f")).select("chunk_id", "f.field", F.posexplode("f.terms").alias("pos", "term"))
-    corpus = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    return Index(terms.select("term", "chunk_id", "field", "pos"), lengths, corpus)
+    rows = field_columns(chunks).select("chunk_id", F.array(*(F.struct(F.lit(i).cast("long").alias("field"), T.index_terms(F.col(f)).alias("terms")) for i, f in enumerate(FIELDS))).alias("fields"))
+    rows = rows.withColumn("dl", F.aggregate("fields", F.lit(0).cast("long"), lambda n, f: n + F.size(f["terms"])))
+    terms = rows.select("chunk_id", "dl", F.explode("fields").alias("f")).select("chunk_id", "dl", "f.field", F.posexplode("f.terms").alias("pos", "term"))
+    by = terms.groupBy("term", "chunk_id").agg(F.first("dl").alias("dl"), F.sort_array(F.collect_list(F.col("field") * FIELD + F.col("pos"))).alias("places"))
+    by = by.select("term", "chunk_id", "dl", F.size("places").alias("tf"), "places")
+    return Index(by, by.groupBy("term").agg(F.count("*").alias("df")), rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
 
 
 def postings(index: Index) -> DataFrame:
-    """(term, chunk_id, field, tf, positions) for storage."""
-    return index.occurrences.groupBy("term", "chunk_id", "field").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    """(term, chunk_id, field, tf, positions): the places of each term by field."""
+    rows = index.postings.select("term", "chunk_id", F.explode("places").alias("p"))
+    rows = rows.select("term", "chunk_id", F.floor(F.col("p") / FIELD).cast("int").alias("field"), (F.col("p") % FIELD).cast("int").alias("pos"))
+    return rows.groupBy("term", "chunk_id", "field").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
 def plans(queries: DataFrame, tokens: Column, expanded: Column, normalized: Column) -> DataFrame:
@@ -58,27 +91,48 @@ def plans(queries: DataFrame, tokens: Column, expanded: Column, normalized: Colu
 
 
 def phrase_hits(index: Index, plan: DataFrame) -> DataFrame:
-    """(words, chunk_id, tf): a phrase's places in a chunk, its words one after the other within one field."""
+    """(words, chunk_id, dl, tf, df): a phrase's places in a chunk, its words one after the other within one field.
+
+    A phrase of one word is a row of the postings.  For a longer one the chunks of its rarest word are looked up first,
+    and the other words only in these.
+    """
     wanted = plan.select("words").distinct()
     terms = wanted.select("words", F.posexplode("words").alias("at", "term"))
-    found = index.occurrences.join(terms, "term")
-    places = found.groupBy("words", "chunk_id", "field", (F.col("pos") - F.col("at")).alias("start")).agg(F.count("*").alias("n")).where(F.col("n") == F.size("words"))
-    return places.groupBy("words", "chunk_id").agg(F.count("*").alias("tf"))
+    found = index.of(terms)
+    one = wanted.where(F.size("words") == 1).select("words", F.element_at("words", 1).alias("term"))
+    single = found.join(one, "term").join(index.terms, "term").select("words", "chunk_id", "dl", "tf", "df")
+
+    several = terms.where(F.size("words") > 1).join(index.terms, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    rarest = several.groupBy("words").agg(F.min(F.struct("df", "at", "term")).alias("r")).where("r.df > 0").select("words", "r.at", "r.term")
+    starts = lambda at: F.transform("places", lambda p: p - at)
+    seeds = found.join(rarest, "term").select("words", "chunk_id", "dl", F.col("at").alias("seed_at"), starts(F.col("at")).alias("s"))
+    others = several.select("words", "at", "term").join(seeds.select("words", "chunk_id", "seed_at"), "words").where("at <> seed_at")
+    held = found.join(others, ["term", "chunk_id"]).groupBy("words", "chunk_id").agg(F.count("*").alias("n"), F.collect_list(starts(F.col("at"))).alias("all"))
+    places = seeds.join(held, ["words", "chunk_id"]).where(F.col("n") == F.size("words") - 1)
+    tf = F.size(F.aggregate("all", F.col("s"), lambda a, b: F.array_intersect(a, b)))
+    phrases = places.select("words", "chunk_id", "dl", tf.alias("tf")).where("tf > 0")
+    df = phrases.groupBy("words").agg(F.count("*").alias("df"))
+    return single.unionByName(phrases.join(df, "words"))
 
 
 def bm25(index: Index, plan: DataFrame) -> DataFrame:
     """(qid, pass, chunk_id, score): chunks that hold the phrases a pass needs; a lower score is better.
 
-    Scores are rounded to nine decimals, so that ranks don't depend on the order of sums.
+    Phrases that several passes of a query ask for are looked up and added up once, by how often each
+    pass asks.  Scores are rounded to nine decimals, so that ranks don't depend on the order of sums.
     """
-    hits = phrase_hits(index, plan)
-    holders = hits.groupBy("words").agg(F.count("*").alias("df"))
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw > 0, raw).otherwise(1e-6)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hits.join(holders, "words").join(index.lengths, "chunk_id").crossJoin(F.broadcast(index.corpus)).select("words", "chunk_id", part.alias("part"))
-    rows = plan.join(scored, "words").groupBy("qid", "pass", "needed", "chunk_id").agg(F.count("*").alias("held"), F.sum("part").alias("total"))
-    return rows.where(F.col("held") >= F.col("needed")).select("qid", "pass", "chunk_id", F.round(-F.col("total"), 9).alias("score"))
+    parts = phrase_hits(index, plan).crossJoin(F.broadcast(index.corpus)).select("words", "chunk_id", part.alias("part"))
+    passes = (1, 2, 3)
+    of = lambda k: F.col("pass") == k
+    asked = plan.groupBy("qid", "words").agg(*(F.count_if(of(k)).alias(f"n{k}") for k in passes), *(F.max(F.when(of(k), F.col("needed"))).alias(f"needed{k}") for k in passes))
+    sums = asked.join(parts, "words").groupBy("qid", "chunk_id").agg(
+        *(F.sum(f"n{k}").alias(f"held{k}") for k in passes), *(F.max(f"needed{k}").alias(f"needed{k}") for k in passes), *(F.sum(F.col("part") * F.col(f"n{k}")).alias(f"total{k}") for k in passes)
+    )
+    each = F.array(*(F.when(F.col(f"held{k}") >= F.col(f"needed{k}"), F.struct(F.lit(k).alias("pass"), F.round(-F.col(f"total{k}"), 9).alias("score"))) for k in passes))
+    return sums.select("qid", "chunk_id", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("p")).select("qid", "p.pass", "chunk_id", "p.score")
 
 
 def candidates(scored: DataFrame, top_k: int = 5, own: DataFrame | None = None) -> DataFrame:

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from hashlib import sha1
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import parsing
 from ..operators.chunking import chunk
+from .store import Store, ingest, shared_dir
+
+
+#: Changes when stores of the supplied tables must be made anew.
+LAYOUT = "2"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +57,18 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk(*documents(spark, sf_dir))
 
 
+def store(spark: SparkSession, sf_dir: str) -> Store:
+    """The store of ``documents``: ingested into the shared folder when it is first asked for, and again when the table's files change."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = fs.listStatus(path) if fs.getFileStatus(path).isDirectory() else [fs.getFileStatus(path)]
+    state = "|".join(sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in files))
+    out = Store(spark, f"{shared_dir(spark)}/sparrowdex/corpus-{sha1(f'{LAYOUT}|{state}'.encode()).hexdigest()}")
+    if out.version() is None:
+        ingest(out, *documents(spark, sf_dir))
+    return out
+
+
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each benchmark passage as a query."""
     return table(spark, sf_dir, "benchmark").where("item_id is not null").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("qid"), F.col("text").alias("raw_query"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,51 +10,63 @@ from ..operators import contract, evaluation, index
 from ..operators.profile import profile
 from ..operators.rerank import rerank
 from . import default_rules as D
-from .store import Store
+from .store import Store, shared_dir
 
+#: Candidates up to which the scan of the chunks is told which chunks to read.
+FEW = 2000
 
-def kept(df: DataFrame) -> DataFrame:
-    """A checkpoint of what several joins read: computed once, short in plan, and safe from lost executors.
 
-    It lies in the cluster's ``spark.checkpoint.dir``, or in a temporary folder where none is set (tests).
-    """
+def kept(df: DataFrame) -> DataFrame:
+    """A checkpoint of what several joins read: computed once, short in plan, and safe from lost executors.  It lies in ``shared_dir``."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sparrowdex-"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
-def search(queries: DataFrame, chunks: DataFrame, top_k: int = 5, ix: index.Index | None = None, rules=D) -> tuple[DataFrame, DataFrame]:
-    """Ranked results of all queries (qid, raw_query), and their profiles; a column top_k gives a query its own number of results."""
+def chunks_of(source: DataFrame | Store) -> DataFrame:
+    return source.read("chunks") if isinstance(source, Store) else source
+
+
+def search(queries: DataFrame, source: DataFrame | Store, top_k: int = 5, ix: index.Index | None = None, rules=D) -> tuple[DataFrame, DataFrame]:
+    """Ranked results of all queries (qid, raw_query), and their profiles; a column top_k gives a query its own number of results.
+
+    ``source``: a store, whose index is read, or a table of chunks, which are indexed first unless ``ix`` is given.
+    """
     if not 1 <= top_k <= 100:
         raise ValueError("top_k must be 1 to 100")
+    chunks = chunks_of(source)
     profiles = profile(queries, rules)
-    ix = ix or index.build(chunks)
+    ix = ix or (source.index() if isinstance(source, Store) else index.build(chunks))
     plan = index.plans(profiles, F.col("tokens"), F.col("expanded"), F.col("normalized"))
     own = queries.select("qid", "top_k") if "top_k" in queries.columns else None
-    results = rerank(index.candidates(index.bm25(ix, plan), top_k, own), profiles, chunks, top_k if own is None else 100, rules)
+    best = kept(index.candidates(index.bm25(ix, plan), top_k, own))
+    ids = [r.chunk_id for r in best.select("chunk_id").distinct().limit(FEW + 1).collect()]
+    if len(ids) <= FEW:
+        chunks = chunks.where(F.col("id").isin(sorted(ids)))
+    results = rerank(best, profiles, chunks, top_k if own is None else 100, rules)
     return (results if own is None else results.join(own, "qid").where("rank <= top_k").drop("top_k")), profiles
 
 
-def contracts(queries: DataFrame, chunks: DataFrame, top_k: int = 5, include_previous: bool = False, include_next: bool = False, max_tokens: int = 600, rules=D) -> DataFrame:
-    results, profiles = search(queries, chunks, top_k, rules=rules)
+def contracts(queries: DataFrame, source: DataFrame | Store, top_k: int = 5, include_previous: bool = False, include_next: bool = False, max_tokens: int = 600, rules=D) -> DataFrame:
+    results, profiles = search(queries, source, top_k, rules=rules)
     results, profiles = kept(results), kept(profiles)
-    return contract.envelopes(B.bundles(results, profiles, chunks, include_previous, include_next, max_tokens, rules), profiles, top_k, rules=rules)
+    return contract.envelopes(B.bundles(results, profiles, chunks_of(source), include_previous, include_next, max_tokens, rules), profiles, top_k, rules=rules)
 
 
-def evaluate(cases: DataFrame, chunks: DataFrame, with_bundles: bool = False, budget: int = 450, rules=D) -> DataFrame:
+def evaluate(cases: DataFrame, source: DataFrame | Store, with_bundles: bool = False, budget: int = 450, rules=D) -> DataFrame:
     """Outcomes of all cases as one job; each case is graded on its first max(top_k, 5) results."""
     cases = evaluation.with_defaults(cases)
     queries = cases.select(F.col("id").alias("qid"), F.col("query").alias("raw_query"), F.greatest("top_k", F.lit(5)).alias("top_k"))
-    results, profiles = search(queries, chunks, rules=rules)
+    results, profiles = search(queries, source, rules=rules)
     results, profiles = kept(results), kept(profiles)
-    made = B.bundles(results, profiles, chunks, max_tokens=budget, rules=rules).where("rank = 1") if with_bundles else None
+    made = B.bundles(results, profiles, chunks_of(source), max_tokens=budget, rules=rules).where("rank = 1") if with_bundles else None
     return evaluation.outcomes(cases, results, made, budget)
 
 
 def verify(store: Store, cases: DataFrame, baseline: DataFrame | None = None, with_bundles: bool = True, budget: int = 450) -> DataFrame:
     """Evaluate a store, compare with a baseline's outcomes if there are any, and give the verdict."""
-    now = evaluation.report(evaluate(cases, store.read("chunks"), with_bundles, budget))
+    now = evaluation.report(evaluate(cases, store, with_bundles, budget))
     return evaluation.validation_status(now, None if baseline is None else evaluation.comparison(now, evaluation.report(baseline)))
 
 

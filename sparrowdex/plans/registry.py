@@ -80,8 +80,8 @@ def page_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _store(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    docs, sections = corpus.documents(spark, d)
-    return docs, sections, corpus.chunk(docs, sections)
+    store = corpus.store(spark, d)
+    return tuple(store.read(t) for t in ("documents", "sections", "chunks"))
 
 
 def stats_overview(spark: SparkSession, d: str) -> DataFrame:
@@ -138,15 +138,15 @@ def index_postings(spark: SparkSession, d: str) -> DataFrame:
 
 def bm25_passes(spark: SparkSession, d: str) -> DataFrame:
     p = profile(corpus.queries(spark, d))
-    scored = index.bm25(index.build(corpus.chunks(spark, d)), index.plans(p, F.col("tokens"), F.col("expanded"), F.col("normalized")))
+    scored = index.bm25(corpus.store(spark, d).index(), index.plans(p, F.col("tokens"), F.col("expanded"), F.col("normalized")))
     return scored.groupBy("qid", "pass").agg(F.count("*").alias("n"), F.round(F.sum("score"), 3).alias("total"), F.round(F.min("score"), 5).alias("best"))
 
 
 def _candidates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    chunks = corpus.chunks(spark, d)
+    store = corpus.store(spark, d)
     p = profile(corpus.queries(spark, d))
-    scored = index.bm25(index.build(chunks), index.plans(p, F.col("tokens"), F.col("expanded"), F.col("normalized")))
-    return index.candidates(scored, 5), p, chunks
+    scored = index.bm25(store.index(), index.plans(p, F.col("tokens"), F.col("expanded"), F.col("normalized")))
+    return index.candidates(scored, 5), p, store.read("chunks")
 
 
 def candidate_cascade(spark: SparkSession, d: str) -> DataFrame:
@@ -162,25 +162,25 @@ def rerank_signals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def search_results(spark: SparkSession, d: str) -> DataFrame:
-    results, _ = engine.search(corpus.queries(spark, d), corpus.chunks(spark, d), 5)
+    results, _ = engine.search(corpus.queries(spark, d), corpus.store(spark, d), 5)
     return results.select("qid", "rank", "chunk_id", "source_path", "source_name", "document_title", F.round("rerank_score", 3).alias("rerank_score"), "token_count")
 
 
 def search_snippets(spark: SparkSession, d: str) -> DataFrame:
-    results, p = engine.search(corpus.queries(spark, d), corpus.chunks(spark, d), 5)
+    results, p = engine.search(corpus.queries(spark, d), corpus.store(spark, d), 5)
     rows = results.join(p.select("qid", "tokens"), "qid")
     return rows.select("qid", "rank", index.snippet(F.col("content"), F.col("tokens")).alias("snippet"))
 
 
 def context_bundles(spark: SparkSession, d: str) -> DataFrame:
-    chunks = engine.kept(corpus.chunks(spark, d))
-    results, p = map(engine.kept, engine.search(corpus.queries(spark, d), chunks, 5))
-    b = B.bundles(results, p, chunks, include_previous=True, include_next=True, max_tokens=300)
+    store = corpus.store(spark, d)
+    results, p = map(engine.kept, engine.search(corpus.queries(spark, d), store, 5))
+    b = B.bundles(results, p, store.read("chunks"), include_previous=True, include_next=True, max_tokens=300)
     return b.select("qid", "rank", "bundle_token_count", "selection_strategy", F.size("chunks").alias("n_chunks"), "diagnostics.within_budget", "diagnostics.truncated", "diagnostics.duplicate_chunk_count", F.sha1(F.element_at("chunks", 1)["content"]).alias("first_hash"))
 
 
 def runtime_contracts(spark: SparkSession, d: str) -> DataFrame:
-    return contract.as_json(engine.contracts(corpus.queries(spark, d), engine.kept(corpus.chunks(spark, d)), 5, True, True))
+    return contract.as_json(engine.contracts(corpus.queries(spark, d), corpus.store(spark, d), 5, True, True))
 
 
 def contract_parts(spark: SparkSession, d: str) -> DataFrame:
@@ -191,34 +191,34 @@ def contract_parts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def evaluation_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    o = engine.evaluate(corpus.cases(spark, d), corpus.chunks(spark, d))
+    o = engine.evaluate(corpus.cases(spark, d), corpus.store(spark, d))
     return o.select("case_id", "bucket", "expected_source_name", "grade", "strong_pass_top_1", "strong_pass_top_3", "strong_pass_top_5", "weak_pass_top_1", "weak_pass_top_5", "matched_result_rank", "matched_result_path", "matched_rule_type", F.array_join("matched_on", "|").alias("matched_on"), "preferred_source_rank", "failure_summary", "ranking_diagnostic")
 
 
 def evaluation_report(spark: SparkSession, d: str) -> DataFrame:
-    r = evaluation.report(engine.evaluate(corpus.cases(spark, d), corpus.chunks(spark, d)))
+    r = evaluation.report(engine.evaluate(corpus.cases(spark, d), corpus.store(spark, d)))
     return r.select("dimension", "label", "total_queries", "strong_passes", "weak_passes", "misses", "top_1_strong_passes", "top_3_strong_passes", "top_5_strong_pass_rate", "top_5_weak_pass_rate", F.array_join("case_ids", "|").alias("case_ids"))
 
 
 def evaluation_bundles(spark: SparkSession, d: str) -> DataFrame:
-    o = engine.evaluate(corpus.cases(spark, d), engine.kept(corpus.chunks(spark, d)), with_bundles=True)
+    o = engine.evaluate(corpus.cases(spark, d), corpus.store(spark, d), with_bundles=True)
     return o.select("case_id", "grade", "bundle_grade", "bundle_token_count", "bundle_chunk_count", "bundle_selection_strategy", "bundle_within_budget", "bundle_matched_path", "bundle_source_coherent", "bundle_diagnostic")
 
 
 def evaluation_confusions(spark: SparkSession, d: str) -> DataFrame:
-    o = evaluation.source_confusions(engine.evaluate(corpus.cases(spark, d), corpus.chunks(spark, d)))
+    o = evaluation.source_confusions(engine.evaluate(corpus.cases(spark, d), corpus.store(spark, d)))
     return o.select("case_id", "expected_source_name", "matched_result_source_name", "grade")
 
 
 def evaluation_baseline(spark: SparkSession, d: str) -> DataFrame:
     """The run on all sources against the run on all but one."""
-    chunks, cases = engine.kept(corpus.chunks(spark, d)), corpus.cases(spark, d)
-    now, base = (evaluation.report(engine.evaluate(cases, c)) for c in (chunks, chunks.where("not metadata.source_name <=> 'src0'")))
+    store, cases = corpus.store(spark, d), corpus.cases(spark, d)
+    now, base = (evaluation.report(engine.kept(engine.evaluate(cases, c))) for c in (store, store.read("chunks").where("not metadata.source_name <=> 'src0'")))
     return evaluation.comparison(now, base).unionByName(evaluation.metric_deltas(now, base).where("delta <> 0").select("dimension", "label", "metric_family", F.concat_ws("=", "metric", F.round("delta", 6).cast("string")).alias("status")))
 
 
 def evaluation_verdict(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.validation_status(evaluation.report(engine.evaluate(corpus.cases(spark, d), engine.kept(corpus.chunks(spark, d)), with_bundles=True)))
+    return evaluation.validation_status(evaluation.report(engine.evaluate(corpus.cases(spark, d), corpus.store(spark, d), with_bundles=True)))
 
 
 FLAGSHIP: Query = search_results

@@ -1,18 +1,21 @@
 """The store: documents, sections and chunks as Parquet snapshots.
 
 A write makes a new snapshot and then moves a small pointer file to it, so readers
-always see a whole one, and a failed write leaves the old one in place.
+always see a whole one, and a failed write leaves the old one in place.  A snapshot holds
+the index of its chunks too: postings in buckets by a hash of their term and sorted by it, so that a search reads
+what it asks for, the terms with their numbers of chunks, and the corpus' row.  Chunks are sorted by their id, by which results are fetched.
 """
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import index
 from ..operators.chunking import chunk
-from ..operators.index import build, postings
 
 TABLES = {
     "documents": "id string, source_path string, title string, source_type string, source_name string, source_url string, canonical_url string, repo_commit_hash string, last_modified_time timestamp, scrape_timestamp timestamp, file_hash string, content_hash string",
@@ -21,6 +24,21 @@ TABLES = {
 }
 
 
+#: Terms of chunks that a bucket of postings is meant for, and the most buckets.
+BUCKET, BUCKETS = 8_000_000, 4096
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where none is set and all runs on one machine (tests)."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="sparrowdex-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
@@ -59,11 +77,38 @@ class Store:
         version = f"v-{uuid.uuid4().hex}"
         for t in TABLES:
             schema = self.spark.createDataFrame([], TABLES[t]).schema
-            new[t].select(*(F.col(f.name).cast(f.dataType) if f.name in new[t].columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema)).write.parquet(f"{self.path}/{version}/{t}")
-        postings(build(self.spark.read.parquet(f"{self.path}/{version}/chunks"))).write.parquet(f"{self.path}/{version}/postings")
+            rows = new[t].select(*(F.col(f.name).cast(f.dataType) if f.name in new[t].columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema))
+            if t == "chunks":
+                rows = rows.repartitionByRange("id").sortWithinPartitions("id")
+            rows.write.parquet(f"{self.path}/{version}/{t}")
+        self._write_index(f"{self.path}/{version}")
         self._point(version)
         return {t: self.read(t).count() for t in TABLES}
 
+    def _write_index(self, at: str) -> None:
+        ix = index.build(self.spark.read.parquet(f"{at}/chunks"))
+        ix.corpus.coalesce(1).write.parquet(f"{at}/corpus")
+        n, avgdl = self.spark.read.parquet(f"{at}/corpus").head()
+        buckets = int(min(BUCKETS, max(1, -(-n * (avgdl or 0) // BUCKET))))
+        rows = ix.postings.withColumn("bucket", index.bucket_of(F.col("term"), buckets))
+        rows.repartitionByRange("bucket", "term", "chunk_id").sortWithinPartitions("bucket", "term", "chunk_id").write.partitionBy("bucket").parquet(f"{at}/postings-{buckets}")
+        schema = rows.drop("bucket").schema
+        found = self.spark.read.schema(schema).parquet(f"{at}/postings-{buckets}")
+        found.groupBy("term").agg(F.count("*").alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{at}/terms")
+
+    def index(self) -> index.Index:
+        """The stored index of the current snapshot; for a snapshot without one, and before the first write, it is built."""
+        version = self.version()
+        at = f"{self.path}/{version}"
+        fs, folder = self._fs(at)
+        names = [s.getPath().getName() for s in fs.listStatus(folder)] if version else []
+        stored = [n for n in names if n.startswith("postings-")]
+        if not stored or "terms" not in names:
+            return index.build(self.read("chunks"))
+        read = self.spark.read
+        rows = read.schema("term string, chunk_id string, dl long, tf int, places array<long>, bucket int").parquet(f"{at}/{stored[0]}")
+        return index.Index(rows, read.schema("term string, df long").parquet(f"{at}/terms"), read.schema("n long, avgdl double").parquet(f"{at}/corpus"), int(stored[0].removeprefix("postings-")))
+
     def _point(self, version: str) -> None:
         fs, target = self._fs(f"{self.path}/current")
         _, temp = self._fs(f"{self.path}/.current-{version}")

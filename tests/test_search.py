@@ -223,10 +223,10 @@ def test_grading(spark):
     out = {x.case_id: x for x in evaluation.outcomes(c, spark.createDataFrame(r, RESULT)).collect()}
     got = {k: (x.grade, x.matched_result_rank, x.matched_rule_type) for k, x in out.items()}
     assert got == {"path": ("STRONG PASS", 2, "preferred_path"), "weak": ("WEAK PASS", 1, "acceptable_heading"), "bad": ("MISS", None, None), "source": ("WEAK PASS", 1, "acceptable_source"), "blocked": ("MISS", None, None), "none": ("MISS", None, None), "both": ("STRONG PASS", 1, "preferred_source+target")}
-    assert out["none"].failure_summary == "No retrieval results returned"
-    assert out["bad"].failure_summary.startswith("Top result came from an explicitly disallowed path")
-    assert out["blocked"].failure_summary.startswith("Top result came from the wrong source (s)")
-    assert out["path"].ranking_diagnostic.startswith("Preferred result was retrieved at rank 2")
+    assert out["none"].failure_summary == "The search found nothing."
+    assert out["bad"].failure_summary.startswith("The first result is from a path that this case rules out: docs/a.md")
+    assert out["blocked"].failure_summary.startswith("The first result is from s,")
+    assert out["path"].ranking_diagnostic.startswith("A preferred result comes at rank 2")
     assert (out["path"].strong_pass_top_1, out["path"].strong_pass_top_3) == (False, True)
     assert out["both"].matched_on == ["preferred_source:s", "preferred_heading:h"]
     assert out["source"].preferred_source_rank is None  # names are compared as they are written
@@ -270,9 +270,9 @@ def test_bundle_grades(spark):
     assert {k: r.bundle_grade for k, r in got.items()} == {
         "fine": "COMPLETE", "miss": "INSUFFICIENT", "heading": "INSUFFICIENT", "over": "PARTIAL", "far": "INSUFFICIENT", "path": "PARTIAL", "mixed": "PARTIAL", "mixed_ok": "COMPLETE", "redundant": "PARTIAL", "thin": "PARTIAL", "none": "INSUFFICIENT", "source": "INSUFFICIENT", "accept": "PARTIAL",
     }
-    assert got["none"].bundle_diagnostic == "no context bundle was produced"
-    assert got["fine"].bundle_diagnostic == "bundle path matched preferred target; bundle primary source: s"
-    assert "bundle exceeded token budget (50>40)" in got["over"].bundle_diagnostic
+    assert got["none"].bundle_diagnostic == "there is no bundle"
+    assert got["fine"].bundle_diagnostic == "a named path is in the bundle; the match is from s"
+    assert "takes 50 tokens of 40" in got["over"].bundle_diagnostic
 
 
 def test_evaluation_from_end_to_end(spark, chunks):

@@ -34,7 +34,30 @@ def test_writes_replace_or_upsert(spark, tmp_path):
     assert s.read("chunks").where("metadata.source_path = 'b.md'").head().content.startswith("Heading: One")
     assert ingest(s, *markdown(files(spark, z=ONE)))["documents"] == 1
     assert paths(s) == ["z.md"]
-    assert spark.read.parquet(f"{s.path}/{s.version()}/postings").where("term = 'paragraph'").count() == 1
+    assert s.index().postings.where("term = 'paragraph'").count() == 1
+
+
+def test_the_stored_index_is_the_built_one(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from sparrowdex.operators import index
+    from sparrowdex.operators.profile import profile
+    from sparrowdex.plans import store as module
+
+    monkeypatch.setattr(module, "BUCKET", 20)
+    s = Store(spark, str(tmp_path / "store"))
+    ingest(s, *markdown(files(spark, a=ONE, b=TWO)))
+    stored, built = s.index(), index.build(s.read("chunks"))
+    assert stored.buckets > 1
+    rows = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    for t in ("postings", "terms", "corpus"):
+        assert rows(getattr(stored, t).drop("bucket")) == rows(getattr(built, t)), t
+    p = profile(spark.createDataFrame([("q", "first paragraph of text"), ("none", "zzz")], "qid string, raw_query string"))
+    plan = index.plans(p, F.col("tokens"), F.col("expanded"), F.col("normalized"))
+    assert rows(index.bm25(stored, plan)) == rows(index.bm25(built, plan))
+    asked = stored.of(spark.createDataFrame([("paragraph",)], "term string"))
+    assert {r.bucket for r in asked.select("bucket").distinct().collect()} <= {index.bucket("paragraph", stored.buckets)}
+    assert "PartitionFilters: [isnotnull(bucket" in asked._jdf.queryExecution().executedPlan().toString() or "PartitionFilters: [bucket" in asked._jdf.queryExecution().executedPlan().toString()
 
 
 def test_diagnostics(spark, tmp_path):
