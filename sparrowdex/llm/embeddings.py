@@ -1,15 +1,18 @@
 """Embedding near-duplicates by cross-polytope hashing.
 
 A vector is rotated by three rounds of random signs and a fast Hadamard transform;
-its hash is the nearest signed axis.  ``WIDTH`` hashes make a bucket of a table.
+its hash is the nearest signed axis.  Several hashes make a bucket of a table.
 Multiprobe: a vector is also filed under the buckets in which one hash is replaced
 by its second nearest axis.  Vectors that share a bucket are verified by their cosine in
 double precision.
 
+The number of hashes follows the largest label's vectors, so that an average bucket stays within a block; the number of
+tables follows from how often pairs at the threshold share a bucket of one table, so that but ``MISS`` of them share one of some table.
+
 Equal vectors are one node with a multiplicity.  Pairs are never rows: a bucket is cut
 into blocks, two blocks meet in one task as matrices, and what leaves it
-is a link count for each node and a spanning forest.  A pair that shares several buckets is counted in the
-smallest of them only.
+is a link count for each node and a spanning forest.  Vectors with one home bucket in the first table meet there, and
+in no other bucket again; of other pairs that share several buckets, the smallest counts.
 """
 
 from __future__ import annotations
@@ -23,8 +26,10 @@ from pyspark.sql import functions as F
 
 from . import common as C
 from .components import components
+from .near_duplicates import BLOCK, blocks
 
-TABLES, WIDTH, BLOCK = 10, 2, 512
+#: The share of pairs at the threshold that may have no bucket in common, and the least hashes of a bucket.
+MISS, WIDTH = 1e-4, 2
 _U = np.uint64
 
 
@@ -45,7 +50,28 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
-def buckets(v: np.ndarray, labels: np.ndarray, tables: int = TABLES, width: int = WIDTH) -> np.ndarray:
+def width_for(vectors: int, dims: int) -> int:
+    """Hashes of a bucket with which the buckets of ``vectors`` vectors hold at most a block on average."""
+    axes, width = 2 << max(1, (dims - 1).bit_length()), WIDTH
+    while axes**width * BLOCK < vectors:
+        width += 1
+    return width
+
+
+def tables_for(cosine: float, dims: int, width: int, pairs: int = 500) -> int:
+    """Tables with which but ``MISS`` of the pairs at the threshold share a bucket, from pairs drawn at random with that cosine."""
+    if dims < 2 or cosine >= 1:
+        return 1
+    rng = np.random.Generator(np.random.PCG64(4242))
+    a, b = unit(rng.normal(size=(pairs, dims))), rng.normal(size=(pairs, dims))
+    b = unit(b - (a * b).sum(1, keepdims=True) * a)
+    none = np.zeros(pairs, np.int64)
+    x, y = (buckets(v, none, 16, width).reshape(pairs, 16, -1) for v in (a, cosine * a + np.sqrt(1 - cosine * cosine) * b))
+    shared = float((x[:, :, :, None] == y[:, :, None, :]).any((2, 3)).mean())
+    return int(min(64, max(2, np.ceil(np.log(MISS) / np.log(max(1 - shared, 1e-9))))))
+
+
+def buckets(v: np.ndarray, labels: np.ndarray, tables: int, width: int) -> np.ndarray:
     """(rows, tables * (1 + width)) bucket keys of unit vectors: in each table the nearest axes, and each hash's second nearest in turn."""
     n, d = v.shape
     size = 1 << max(1, (d - 1).bit_length())
@@ -129,56 +155,67 @@ def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _first_shared(keys: np.ndarray, left: np.ndarray, right: np.ndarray, key: np.uint64) -> np.ndarray:
+    """Which rows of left and right share no bucket smaller than ``key``."""
+    smaller = np.unique(keys[keys < key])
+    if not len(smaller):
+        return np.ones((len(left), len(right)), bool)
+    member = np.zeros((len(keys), len(smaller)), np.float32)
+    r, c = np.nonzero(keys < key)
+    member[r, np.searchsorted(smaller, keys[r, c])] = 1
+    return member[left] @ member[right].T == 0
+
+
 def _verified(batches: Iterator[pa.RecordBatch], cosine: float, tables: int, width: int) -> Iterator[pa.RecordBatch]:
     """For each two blocks of a bucket: rows (node, links) and rows (node, other) of a spanning forest."""
     for t in C.whole_groups(batches, ["key", "i", "j"], 2000):
-        cols = {c: t.column(c).to_numpy() for c in ("key", "i", "j", "own", "node", "label", "m")}
+        cols = {c: t.column(c).to_numpy() for c in ("key", "i", "j", "own", "node", "comp", "label", "m")}
         raw = t.column("vec").to_pylist()
         edges = C.bounds([cols["key"], cols["i"], cols["j"]])
         A, B, N = [], [], []
         for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            if hi - lo < 2:
+            own, node, comp, m = (cols[c][lo:hi] for c in ("own", "node", "comp", "m"))
+            if hi - lo < 2 or (comp == comp[0]).all():
                 continue
-            key = np.array([cols["key"][lo]], np.int64).view(np.uint64)[0]
             v = unit(np.frombuffer(b"".join(raw[lo:hi]), np.float64).reshape(hi - lo, -1))
-            own, node, m = cols["own"][lo:hi], cols["node"][lo:hi], cols["m"][lo:hi]
             i, j = int(cols["i"][lo]), int(cols["j"][lo])
             x = np.arange(hi - lo)
             left, right = (x, x) if i == j else (x[own == i], x[own == j])
             if not len(left) or not len(right):
                 continue
-            ok = v[left] @ v[right].T >= cosine
+            ok = (v[left] @ v[right].T >= cosine) & (comp[left][:, None] != comp[right][None, :])
             if i == j:
                 np.fill_diagonal(ok, False)
             if not ok.any():
                 continue
-            keys = buckets(v, cols["label"][lo:hi], tables, width)
-            smaller = np.unique(keys[keys < key])
-            if len(smaller):
-                member = np.zeros((hi - lo, len(smaller)), np.float32)
-                r, c = np.nonzero(keys < key)
-                member[r, np.searchsorted(smaller, keys[r, c])] = 1
-                new = ok & (member[left] @ member[right].T == 0)
-            else:
-                new = ok
             both = np.zeros((hi - lo, hi - lo), bool)
-            both[np.ix_(left, right)] = new
+            both[np.ix_(left, right)] = ok
             if i != j:
                 both |= both.T
-            gained = both.astype(np.float64) @ m
+            used = np.flatnonzero(both.any(1))
+            both = both[np.ix_(used, used)]
+            key = np.array([cols["key"][lo]], np.int64).view(np.uint64)[0]
+            keys = buckets(v[used], cols["label"][lo:hi][used], tables, width)
+            home = keys[:, 0]
+            if not (home == key).all():
+                # pairs of one home bucket are left to it, whatever its number
+                every = np.arange(len(used))
+                both &= np.where(home[:, None] == home[None, :], (home == key)[:, None], _first_shared(keys, every, every, key))
+            gained = both.astype(np.float64) @ m[used]
+            at = node[used]
             for k in np.flatnonzero(gained).tolist():
-                A.append(int(node[k]))
+                A.append(int(at[k]))
                 B.append(None)
                 N.append(int(gained[k]))
             for a, b in _forest(both):
-                A.append(int(node[a]))
-                B.append(int(node[b]))
+                A.append(int(at[a]))
+                B.append(int(at[b]))
                 N.append(0)
         if A:
             yield pa.RecordBatch.from_arrays([pa.array(A, pa.int64()), pa.array(B, pa.int64()), pa.array(N, pa.int64())], ["a", "b", "n"])
 
 
-def embedding_near_duplicates(vectors: DataFrame, cosine: float = 0.98, tables: int = TABLES, width: int = WIDTH, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def embedding_near_duplicates(vectors: DataFrame, cosine: float = 0.98, tables: int | None = None, width: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept.
 
     Vectors are compared when their labels are equal and not null and they have as many
@@ -188,8 +225,8 @@ def embedding_near_duplicates(vectors: DataFrame, cosine: float = 0.98, tables:
     ``component_id`` is the smallest id reachable; a null id counts as larger than
     all others.  Other columns are not looked at; an empty table gives an empty result.
 
-    ``width`` hashes give (2 * components) ** width buckets a label and table; raise it
-    by one for each such factor of vectors, and the tables with it.
+    ``width`` hashes make a bucket of each of ``tables`` tables; where they are not given, ``width_for`` the label with
+    most distinct vectors and ``tables_for`` the threshold.
     """
     spark = vectors.sparkSession
     C.small_batches(spark, 2000)
@@ -197,13 +234,19 @@ def embedding_near_duplicates(vectors: DataFrame, cosine: float = 0.98, tables:
     base = C.cut(rows.mapInArrow(_valid, "vec_id long, label long, node long, vec binary"), "vectors")
     nodes = base.where("node is not null").groupBy("node").agg(F.count("*").alias("m"), F.min("vec_id").alias("least"), F.first("label").alias("label"), F.first("vec").alias("vec"))
     nodes = C.cut(nodes, "nodes")
+    most = nodes.groupBy("label", F.length("vec").alias("bytes")).agg(F.count("*").alias("n")).agg(F.max("n").alias("n"), F.max("bytes").alias("bytes")).head()
+    dims = (most.bytes or 16) // 8
+    width = width or width_for(most.n or 0, dims)
+    tables = tables or tables_for(cosine, dims, width)
     filed = nodes.select("node", "label", "vec").mapInArrow(lambda it: _filed(it, tables, width), "node long, keys array<long>")
-    posts = C.cut(filed.select("node", F.explode(F.array_distinct("keys")).alias("key")), "posts")
-    size = posts.groupBy("key").agg(F.count("*").alias("s")).where("s > 1")
-    rows = posts.join(size, "key").withColumn("q", F.ceil(F.col("s") / BLOCK).cast("int"))
-    rows = rows.join(nodes, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("q")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "m", "vec")
+    # in the first table's home bucket all pairs are looked at, in others those of different homes
+    home = F.get("keys", F.lit(0))
+    posts = filed.select("node", home.alias("home"), F.explode(F.array_distinct("keys")).alias("key"))
+    posts = C.cut(posts.select("key", "node", F.when(F.col("key") == F.col("home"), F.col("node")).otherwise(F.col("home")).alias("comp")), "posts")
+    size = C.cut(posts.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")), "bucket-sizes")
+    rows = C.looked_up(posts, "key", size.select("key", "n"), size.where("lo <> hi").select("key", F.col("n").alias("m")))
+    rows = C.cut(blocks(C.cut(rows, "shared")), "dealt")
+    rows = rows.join(nodes, "node").select("key", "i", "j", "own", "node", "comp", "label", "m", "vec")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     found = C.cut(rows.mapInArrow(lambda it: _verified(it, cosine, tables, width), "a long, b long, n long"), "found")
     links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
@@ -214,5 +257,5 @@ def embedding_near_duplicates(vectors: DataFrame, cosine: float = 0.98, tables:
     named = named.join(low, "comp").select("node", "n_links", "component_id")
     out = base.where("node is not null").select("vec_id", "node").join(named, "node").select("vec_id", "n_links", "component_id")
     alone = base.where("node is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    C.drop(posts, found, label)
+    C.drop(posts, size, found, label)
     return out.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -79,3 +79,31 @@ def test_the_supplied_vectors(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = [(r.vec_id, r.embedding, r.label) for r in df.collect()]
     assert found(embedding_near_duplicates(df)) == brute(rows, 0.98)
+
+
+def test_tables_find_the_pairs_at_the_threshold():
+    """Pairs exactly at the threshold, that the tables were not chosen by, share a bucket but for few."""
+    from sparrowdex.llm.embeddings import buckets, tables_for, unit, width_for
+
+    rng = np.random.default_rng(8)
+    for dims, vectors in ((64, 1000), (64, 10**8), (10, 10**6), (300, 10**6)):
+        width = width_for(vectors, dims)
+        tables = tables_for(0.98, dims, width)
+        a, g = unit(rng.normal(size=(2000, dims))), rng.normal(size=(2000, dims))
+        g = unit(g - (a * g).sum(1, keepdims=True) * a)
+        none = np.zeros(2000, np.int64)
+        x, y = buckets(a, none, tables, width), buckets(0.98 * a + np.sqrt(1 - 0.98**2) * g, none, tables, width)
+        assert (x[:, :, None] == y[:, None, :]).any((1, 2)).mean() >= 0.998, (dims, vectors)
+    assert width_for(10**9, 64) > width_for(10**6, 64)
+
+
+def test_a_group_larger_than_a_block(spark):
+    """Near copies in many blocks, with some that leave the group's home bucket."""
+    rng = np.random.default_rng(21)
+    centre = rng.normal(size=16)
+    rows = [(i, (centre + rng.normal(size=16) * (0.05 if i % 7 else 0.14)).astype(np.float32).tolist(), 0) for i in range(1300)]
+    rows += [(2000 + i, rng.normal(size=16).astype(np.float32).tolist(), 0) for i in range(200)]
+    want, got = brute(rows, 0.98), found(embedding_near_duplicates(table(spark, rows)))
+    assert sum(x[1] for x in got) >= 0.999 * sum(x[1] for x in want)
+    assert all(a[1] <= b[1] for a, b in zip(sorted(got, key=lambda x: x[0]), sorted(want, key=lambda x: x[0]), strict=True))
+    assert [x[::2] for x in got] == [x[::2] for x in want]
