@@ -70,6 +70,13 @@ class Targets:
     hashed: bool = True
 
 
+#: The weights of op9 and of the pipeline's stage.  Languages and topics have stated ones; sources are tempered, as any number of them may come.
+PRODUCTION = Targets(
+    weights={"language": {"en": 0.55, "de": 0.15, "es": 0.15, "fr": 0.15}, "topic": {"prose": 0.7, "code": 0.1, "link": 0.1, "license": 0.05, "contact": 0.05}},
+    hashed=False,
+)
+
+
 def rake(index: np.ndarray, tokens: np.ndarray, marginals: list[np.ndarray], rounds: int = 100, tolerance: float = 1e-9) -> np.ndarray:
     """Weights of cells (``index``: rows of a stratum number for each axis), from ``tokens``, with the given marginals as far as the cells allow."""
     w = tokens.astype(float)
@@ -191,6 +198,30 @@ def with_strata(docs: DataFrame, targets: Targets, id_col: str = "doc_id", text_
     })
 
 
+def probabilities(rows: DataFrame, targets: Targets, driver_cells: int = DRIVER_CELLS) -> DataFrame:
+    """(KEYS, mix_weight, mix_probability) of the cells of ``rows`` (KEYS, mix_tokens), to be broadcast if they are few."""
+    spark = rows.sparkSession
+    cells = rows.groupBy(*KEYS).agg(F.sum("mix_tokens").alias("t"), F.count("*").alias("n"))
+    if not targets.hashed:
+        cells = C.cut(cells, "mix-cells", 6_400_000)
+        if cells.count() > driver_cells:
+            return raked_table(cells, targets)
+    got = [(c[0], c[1], c[2], c[3], c[4]) for c in cells.collect()]
+    C.drop(cells)
+    return F.broadcast(spark.createDataFrame(cell_probabilities(got, targets), "mix_source string, mix_language string, mix_topic string, mix_weight double, mix_probability double"))
+
+
+def mixing_report(docs: DataFrame, targets: Targets = PRODUCTION, id_col: str = "doc_id", text_col: str = "text", driver_cells: int = DRIVER_CELLS) -> DataFrame:
+    """``mix`` without the texts: doc_id, source, lang and the mix_ columns but mix_u; the texts are read once, into a narrow table."""
+    have = set(docs.columns)
+    value = lambda c: (F.col(c) if c in have else F.lit(None)).cast("string").alias(c)
+    aside = {c: f"own_{c}" for c in docs.columns if c.startswith("mix_")}
+    rows = with_strata(docs.withColumnsRenamed(aside), targets, id_col, text_col)
+    rows = C.cut(rows.select(F.col(id_col).cast("long").alias("doc_id"), value("source"), value("lang"), *KEYS, "mix_tokens", "mix_u"), "mix-strata")
+    out = rows.join(probabilities(rows, targets, driver_cells), KEYS)
+    return out.select("doc_id", "source", "lang", *KEYS, "mix_tokens", "mix_weight", "mix_probability", (F.col("mix_u") < F.col("mix_probability")).alias("mix_sampled"))
+
+
 def mix(docs: DataFrame, targets: Targets = Targets(), id_col: str = "doc_id", text_col: str = "text", driver_cells: int = DRIVER_CELLS) -> DataFrame:
     """The rows with mix_source, mix_language, mix_topic, mix_tokens, mix_u, mix_weight, mix_probability and mix_sampled (mix_u < mix_probability).
 
@@ -204,16 +235,8 @@ def mix(docs: DataFrame, targets: Targets = Targets(), id_col: str = "doc_id", t
     topics.  Up to ``driver_cells`` cells, their sums are raked on the driver and the table of
     probabilities is broadcast; more are raked in Spark and joined.
     """
-    spark = docs.sparkSession
     rows = with_strata(docs, targets, id_col, text_col)
-    cells = rows.groupBy(*KEYS).agg(F.sum("mix_tokens").alias("t"), F.count("*").alias("n"))
-    if not targets.hashed:
-        cells = C.cut(cells, "mix-cells", 6_400_000)
-    if not targets.hashed and cells.count() > driver_cells:
-        table = raked_table(cells, targets)
-    else:
-        got = [(c[0], c[1], c[2], c[3], c[4]) for c in cells.collect()]
-        table = F.broadcast(spark.createDataFrame(cell_probabilities(got, targets), "mix_source string, mix_language string, mix_topic string, mix_weight double, mix_probability double"))
+    table = probabilities(rows, targets, driver_cells)
     rows = rows.drop("mix_weight", "mix_probability", "mix_sampled")
     out = rows.join(table, KEYS)
     return out.withColumn("mix_sampled", F.col("mix_u") < F.col("mix_probability"))

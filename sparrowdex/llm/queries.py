@@ -13,7 +13,7 @@ from . import toxicity as X
 from .embeddings import embedding_near_duplicates
 from .fingerprints import document_fingerprints
 from .licenses import license_scan
-from .mixing import Targets, mix
+from .mixing import mixing_report
 from .near_duplicates import near_duplicates
 from .packing import pack
 from .sharding import shard
@@ -66,7 +66,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(C.read(spark, sf_dir, "documents"), Targets(hashed=False)).select("doc_id", "source", "lang", "mix_source", "mix_language", "mix_topic", "mix_tokens", "mix_weight", "mix_probability", "mix_sampled")
+    return mixing_report(C.read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

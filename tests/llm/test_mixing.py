@@ -116,3 +116,38 @@ def test_cells_raked_in_spark_have_the_weights_of_the_driver(spark):
     here, there = ({tuple(r[k] for k in keys): (r.mix_weight, r.mix_probability) for r in mix(df, targets, driver_cells=n).collect()} for n in (10**6, 0))
     assert here.keys() == there.keys()
     assert all(np.allclose(here[k], there[k], rtol=1e-6, atol=1e-12) for k in here)
+
+
+def test_the_report_is_the_mix_without_texts(spark, edge, nothing):
+    from sparrowdex.llm.mixing import PRODUCTION, mix, mixing_report
+
+    for docs in (edge, edge.withColumn("mix_tokens", edge["n_chars"]), edge.drop("lang", "source"), nothing):
+        got = mixing_report(docs)
+        want = mix(docs, PRODUCTION)
+        both = [c for c in got.columns if c in want.columns]
+        assert sorted(map(str, got.select(both).collect())) == sorted(map(str, want.select(both).collect()))
+
+
+def test_stated_weights_are_met(spark):
+    """Expected tokens of the sample have the languages' and topics' weights where no probability is cut at 1."""
+    import random
+
+    from conftest_llm import make_documents, prose
+
+    from sparrowdex.llm.mixing import Targets, mixing_report
+
+    rng = random.Random(6)
+    texts = lambda: prose(rng, rng.randint(20, 80)) + rng.choice(["", " see http://a.b", " License"])
+    docs = make_documents(spark, [(i, texts(), rng.choice(["en", "en", "en", "de"]), rng.choice(["a", "a", "b"])) for i in range(3000)])
+    weights = {"language": {"en": 0.5, "de": 0.5}, "topic": {"prose": 0.6, "link": 0.3, "license": 0.1}}
+    rows = mixing_report(docs, Targets(weights=weights, flat=(1.0, 1.0, 1.0), budget=0.1, hashed=False)).collect()
+    expected = {}
+    for r in rows:
+        for axis, value in (("language", r.mix_language), ("topic", r.mix_topic), ("source", r.mix_source)):
+            expected[axis, value] = expected.get((axis, value), 0) + r.mix_probability * r.mix_tokens
+    total = sum(r.mix_tokens for r in rows)
+    for axis, want in weights.items():
+        for value, share in want.items():
+            assert abs(expected[axis, value] / (0.1 * total) - share) < 1e-3, (axis, value)
+    own = sum(r.mix_tokens for r in rows if r.source == "a") / total
+    assert abs(expected["source", "a"] / (0.1 * total) - own) < 1e-3
