@@ -2,13 +2,17 @@
 
 Each stage works on all that the one before it kept; all but the last return the
 columns of documents.  Labels are learned from the training folds only.
+
+Null and empty texts are documents like others: they are scored as empty texts, are near-duplicates of nothing, and are
+packed as the end token alone.  A null id is an id that no label names.  Repeated rows fare alike in the filters, are
+reduced to one by the near-duplicates, and are sampled together.  Columns beyond those of documents are kept up to the packing.
 """
 
 from __future__ import annotations
 
 from sparrowdex.llm import common as C
 from sparrowdex.llm import quality, toxicity
-from sparrowdex.llm.mixing import Targets, sampled
+from sparrowdex.llm.mixing import PRODUCTION, sampled
 from sparrowdex.llm.near_duplicates import without_near_duplicates
 from sparrowdex.llm.packing import pack
 from sparrowdex.llm.queries import training_labels
@@ -31,7 +35,7 @@ def distinct(spark, docs, sf_dir):
 
 def mixed(spark, docs, sf_dir):
     """Documents sampled to the target weights of sources, languages and topics."""
-    return sampled(docs, Targets(hashed=False))
+    return sampled(docs, PRODUCTION)
 
 
 def packed(spark, docs, sf_dir):
@@ -54,5 +58,6 @@ def run(spark, sf_dir):
     """The stages one after the other, each written to the shared folder and read again."""
     docs = C.read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = C.cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, C.cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        C.drop(before)
     return docs
