@@ -59,7 +59,7 @@ def looked_up(rows: DataFrame, key: str, counts: DataFrame, table: DataFrame, ho
     """
     total = counts.agg(F.sum("n")).head()[0] or 0
     hot = counts.where(F.col("n") > max(total / 10_000, 64)).select(key).limit(10_001)
-    hot = F.broadcast(cut(hot, "hot"))
+    hot = F.broadcast(cut(hot.coalesce(1), "hot"))
     found = table.join(hot, key)
     return rows.join(hot, key, "left_semi").join(F.broadcast(found), key, how).unionByName(rows.join(hot, key, "left_anti").join(table, key, how))
 

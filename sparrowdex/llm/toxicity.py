@@ -144,7 +144,7 @@ def _support(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             all_.update(got)
             if y:
                 one.update(got)
-        if len(all_) > 400_000:
+        if len(all_) > 150_000:
             yield from _counted(one, all_)
             one, all_ = Counter(), Counter()
     yield from _counted(one, all_)
