@@ -52,6 +52,16 @@ def confidence(rank: Column) -> Column:
     return F.when(rank == 1, "high").when(rank <= 3, "medium").otherwise("low")
 
 
+def summary(title: Column, place: Column, leads: Column) -> Column:
+    """What a result is about: its title and place, and the first of its points if there are any."""
+    return F.when(F.size(leads) > 0, say(CONTRACT["summary"], title=title, place=place, point=F.get(leads, F.lit(0)))).otherwise(say(CONTRACT["title"], title=title, place=place))
+
+
+def key_points(texts: Column) -> Column:
+    """Up to four distinct points of the texts, in their order."""
+    return F.slice(F.array_distinct(F.flatten(F.transform(texts, lambda c: points(without_heading_lines(c))))), 1, 4)
+
+
 def results(bundles: DataFrame, profiles: DataFrame, rules=D) -> DataFrame:
     """(qid, rank, result): the contract's result of each bundle."""
     rows = bundles.join(profiles.select("qid", "file_hints", "subtree_hints"), "qid")
@@ -59,8 +69,6 @@ def results(bundles: DataFrame, profiles: DataFrame, rules=D) -> DataFrame:
     where = F.when(F.size("heading_path") > 0, heading).otherwise(F.coalesce(F.nullif("section_title", F.lit("")), F.col("document_title")))
     place = F.when(F.size("heading_path") > 0, heading).otherwise(F.col("document_title"))
     leads = points(without_heading_lines(F.element_at("chunks", 1)["content"]))
-    title = F.col("document_title")
-    summary = F.when(F.size(leads) > 0, say(CONTRACT["summary"], title=title, place=place, point=F.get(leads, F.lit(0)))).otherwise(say(CONTRACT["title"], title=title, place=place))
     reason = F.col("diagnostics.support_reason")
     explained = F.concat(say(CONTRACT["ranking"], rank=F.col("rank"), source=F.coalesce("source_name", F.lit("unknown-source")), place=where), F.coalesce(say(CONTRACT["support"], reason=reason), F.lit("")))
     section = lambda c: F.struct(
@@ -71,8 +79,8 @@ def results(bundles: DataFrame, profiles: DataFrame, rules=D) -> DataFrame:
         contract_id(F.col("source_path"), F.col("section_title"), heading).alias("id"), F.lit("knowledge_bundle").alias("type"), F.col("rank"), confidence(F.col("rank")).alias("confidence"),
         F.struct(F.col("source_name").alias("name"), F.col("source_type").alias("type"), F.col("source_url").alias("url"), F.col("canonical_url"), F.col("source_path").alias("path"), F.col("document_title"), F.col("section_title"), F.col("heading_path")).alias("source"),
         F.struct(
-            summary.alias("summary"), F.transform("chunks", section).alias("sections"), F.coalesce(file_anchors(F.transform("chunks", lambda c: c["content"]), rules), F.array().cast(_STRINGS)).alias("file_anchors"),
-            F.slice(F.array_distinct(F.flatten(F.transform("chunks", lambda c: points(without_heading_lines(c["content"]))))), 1, 4).alias("key_points"),
+            summary(F.col("document_title"), place, leads).alias("summary"), F.transform("chunks", section).alias("sections"), F.coalesce(file_anchors(F.transform("chunks", lambda c: c["content"]), rules), F.array().cast(_STRINGS)).alias("file_anchors"),
+            key_points(F.transform("chunks", lambda c: c["content"])).alias("key_points"),
         ).alias("content"),
         F.struct(explained.alias("ranking_explanation"), reason.alias("support_reason"), F.col("bundle_token_count").alias("token_count"), F.col("selection_strategy")).alias("diagnostics"),
     )
@@ -94,6 +102,39 @@ def as_json(envelopes: DataFrame) -> DataFrame:
     return envelopes.select("qid", F.to_json(F.struct(*(c for c in envelopes.columns if c != "qid")), {"ignoreNullFields": "false"}).alias("json"))
 
 
+#: The envelope's schema, and which of its values may not be null.
+SCHEMA = (
+    "tool string, version string, query string, normalized_query string, intent struct<query_intent:string, task_intent:string, concept_families:array<string>>, "
+    "results array<struct<id:string, type:string, rank:int, confidence:string, "
+    "source:struct<name:string, type:string, url:string, canonical_url:string, path:string, document_title:string, section_title:string, heading_path:array<string>>, "
+    "content:struct<summary:string, sections:array<struct<id:string, role:string, document_title:string, source_path:string, source_url:string, canonical_url:string, section_title:string, heading_path:array<string>, token_count:int, content:string>>, "
+    "file_anchors:array<string>, key_points:array<string>>, "
+    "diagnostics:struct<ranking_explanation:string, support_reason:string, token_count:int, selection_strategy:string>>>"
+)
+NEVER_NULL = {
+    "": ("tool", "version", "query", "normalized_query", "results"), "intent": ("query_intent", "task_intent", "concept_families"), "result": ("id", "type", "rank", "confidence"), "source": ("path", "document_title", "heading_path"),
+    "content": ("summary", "sections", "file_anchors", "key_points"), "section": ("id", "role", "document_title", "source_path", "heading_path", "token_count", "content"), "diagnostics": ("ranking_explanation", "token_count", "selection_strategy"),
+}
+
+
+def schema_violations(json: DataFrame) -> DataFrame:
+    """(qid, problem) of envelopes as text (qid, json): keys that are missing, unknown or of another type, and nulls where none may be.
+
+    An envelope has the schema's keys and types and no others if and only if it comes back unchanged when it is read with the schema and written again.
+    """
+    rows = json.withColumn("e", F.from_json("json", SCHEMA))
+    again = F.to_json("e", {"ignoreNullFields": "false"})
+    null = lambda at, c: F.array(*(F.when(c[k].isNull(), F.lit(f"{at}{'.' if at else ''}{k} is null")) for k in NEVER_NULL[at]))
+    within = lambda at, items, of: F.flatten(F.transform(F.coalesce(items, F.array()), lambda x: null(at, of(x))))
+    e = F.col("e")
+    found = F.concat(
+        F.array(F.when(e.isNull() | (again != F.col("json")), F.lit("keys or types are not those of the schema"))), null("", e), null("intent", e["intent"]), within("result", e["results"], lambda r: r),
+        within("source", e["results"], lambda r: r["source"]), within("content", e["results"], lambda r: r["content"]), within("diagnostics", e["results"], lambda r: r["diagnostics"]),
+        within("section", F.flatten(F.transform(F.coalesce(e["results"], F.array()), lambda r: F.coalesce(r["content"]["sections"], F.array()))), lambda x: x),
+    )
+    return rows.select("qid", F.explode(F.array_distinct(F.filter(found, lambda x: x.isNotNull()))).alias("problem"))
+
+
 def violations(envelopes: DataFrame) -> DataFrame:
     """(qid, problem): what an envelope that follows the contract can't have."""
     r = F.col("r")

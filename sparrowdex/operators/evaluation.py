@@ -210,7 +210,7 @@ BUNDLE = ("complete", "partial", "insufficient", "complete_rate")
 
 
 def metric_deltas(current: DataFrame, baseline: DataFrame) -> DataFrame:
-    """(dimension, label, metric_family, metric, current, baseline, delta, better, worse) for labels that both reports have."""
+    """(dimension, label, metric_family, metric, current, baseline, delta, better, worse) for labels that both reports have; see ``comparison`` for the others."""
     def long(df: DataFrame, name: str) -> DataFrame:
         pairs = [F.struct(F.lit(f).alias("metric_family"), F.lit(m).alias("metric"), F.col(m).cast("double").alias(name)) for f, ms in (("retrieval", RETRIEVAL), ("bundle", BUNDLE)) for m in ms]
         rows = df.select("dimension", "label", "bundles_evaluated", F.explode(F.array(*pairs)).alias("p")).select("dimension", "label", "bundles_evaluated", "p.*")
@@ -224,12 +224,18 @@ def metric_deltas(current: DataFrame, baseline: DataFrame) -> DataFrame:
 
 
 def comparison(current: DataFrame, baseline: DataFrame) -> DataFrame:
-    """(dimension, label, metric_family, status) of two reports; the overall row of family ``all`` is the verdict."""
+    """(dimension, label, metric_family, status) of two reports; the overall row of family ``all`` is the verdict.
+
+    A label that only one report has is ``added`` or ``removed``, in the families that it has there.
+    """
     d = metric_deltas(current, baseline)
     by = d.groupBy("dimension", "label", "metric_family").agg(_status(F.bool_or("better"), F.bool_or("worse")).alias("status"))
     has = lambda s: F.bool_or(F.col("status") == s)
     all_ = by.where("dimension = 'overall'").groupBy("dimension", "label").agg(F.when(has("mixed") | (has("improved") & has("regressed")), "mixed").when(has("regressed"), "regressed").when(has("improved"), "improved").otherwise("unchanged").alias("status"))
-    return by.unionByName(all_.withColumn("metric_family", F.lit("all")).select("dimension", "label", "metric_family", "status"))
+    families = F.explode(F.when(F.col("bundles_evaluated") > 0, F.array(F.lit("retrieval"), F.lit("bundle"))).otherwise(F.array(F.lit("retrieval")))).alias("metric_family")
+    alone = lambda one, other, status: one.select("dimension", "label", families).join(other.select("dimension", "label"), ["dimension", "label"], "left_anti").withColumn("status", F.lit(status))
+    every = by.unionByName(alone(current, baseline, "added")).unionByName(alone(baseline, current, "removed"))
+    return every.unionByName(all_.withColumn("metric_family", F.lit("all")).select("dimension", "label", "metric_family", "status"))
 
 
 def case_changes(current: DataFrame, baseline: DataFrame) -> DataFrame:

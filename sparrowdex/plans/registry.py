@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from ..operators import bundles as B
 from ..operators import contract, diagnostics, evaluation, index, parsing
 from ..operators.profile import profile
 from . import corpus, engine, sql
+from .store import Store, ingest, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -120,10 +122,12 @@ def inspect_document(spark: SparkSession, d: str) -> DataFrame:
 
 
 def inspect_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """The point lookup for every chunk of one document."""
-    docs, sections, chunks = _store(spark, d)
-    mine = chunks.where(F.col("metadata.source_path") == _first_path(d))
-    return mine.select(F.col("id").alias("chunk_id"), "token_count", F.col("metadata.document_title").alias("document_title"), F.col("metadata.source_name").alias("source_name"))
+    """The point lookup of one document's second chunk, else of its first."""
+    t = _store(spark, d)
+    mine = t[2].where(F.col("metadata.source_path") == _first_path(d)).where("chunk_order < 2").orderBy(F.desc("chunk_order"))
+    first = mine.select("id").head()
+    out = diagnostics.inspect_chunk(*t, first.id if first else "")
+    return out.select("chunk_id", "chunk_order", "token_count", "title", "source_path", "source_type", "source_name", "section_order", "heading_level", F.size("heading_path").alias("depth"), F.sha1("content").alias("content_hash"))
 
 
 def query_profiles(spark: SparkSession, d: str) -> DataFrame:
@@ -175,7 +179,7 @@ def search_snippets(spark: SparkSession, d: str) -> DataFrame:
 def context_bundles(spark: SparkSession, d: str) -> DataFrame:
     store = corpus.store(spark, d)
     results, p = map(engine.kept, engine.search(corpus.queries(spark, d), store, 5))
-    b = B.bundles(results, p, store.read("chunks"), include_previous=True, include_next=True, max_tokens=300)
+    b = B.bundles(results, p, store.read("chunks"), include_previous=True, include_next=True, max_tokens=900)
     return b.select("qid", "rank", "bundle_token_count", "selection_strategy", F.size("chunks").alias("n_chunks"), "diagnostics.within_budget", "diagnostics.truncated", "diagnostics.duplicate_chunk_count", F.sha1(F.element_at("chunks", 1)["content"]).alias("first_hash"))
 
 
@@ -184,10 +188,35 @@ def runtime_contracts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def contract_parts(spark: SparkSession, d: str) -> DataFrame:
-    """Ids, summaries and key points as the contract makes them, for every chunk."""
-    c = corpus.chunks(spark, d)
+    """Ids, confidence, summaries and key points as the contract makes them, for every result."""
+    r, _ = engine.search(corpus.queries(spark, d), corpus.store(spark, d), 5)
     text = contract.without_heading_lines(F.col("content"))
-    return c.select("id", contract.contract_id(F.col("metadata.source_path"), F.col("metadata.section_title"), F.lit("")).alias("contract_id"), contract.confidence(F.col("token_count")).alias("confidence"), F.sha1(text).alias("text_hash"))
+    summary = contract.summary(F.col("document_title"), F.col("document_title"), contract.points(text))
+    return r.select("qid", "rank", contract.contract_id(F.col("source_path"), F.col("section_title"), F.lit("")).alias("contract_id"), contract.confidence(F.col("rank")).alias("confidence"), F.sha1(text).alias("text_hash"), F.sha1(summary).alias("summary_hash"), F.array_join(contract.key_points(F.array("content")), "|").alias("key_points"))
+
+
+def file_anchors(spark: SparkSession, d: str) -> DataFrame:
+    """The files that texts name, ordered by what a query asks for; texts and hints are made from the documents' numbers."""
+    n = F.col("doc_id")
+    num = lambda k: (n % k).cast("string")
+    rows = corpus.table(spark, d, "documents").where("doc_id is not null")
+    text = F.concat(F.lit("See lib/part"), num(5), F.lit("/setup.php, sample"), num(2), F.lit(".php and a"), num(3), F.lit(".js; also lib/part"), num(4), F.lit("/styles.scss (see a0.jsx)."))
+    hints = F.when(n % 3 == 0, F.array(F.lit("setup.php"))).when(n % 3 == 1, F.array(F.lit("A1.js"))).otherwise(F.array().cast("array<string>"))
+    trees = F.when(n % 4 == 0, F.array(F.lit("lib/part0"))).otherwise(F.array().cast("array<string>"))
+    rows = rows.select("doc_id", F.array(text, F.concat(F.lit("example"), num(7), F.lit(".yml"))).alias("texts"), hints.alias("file_hints"), trees.alias("subtree_hints"))
+    only = F.array(F.concat(F.lit("sample.php, other"), F.col("doc_id").cast("string"), F.lit(".js")))
+    return rows.select("doc_id", F.array_join(contract.file_anchors(F.col("texts")), "|").alias("anchors"), F.array_join(contract.file_anchors(only), "|").alias("without_paths"))
+
+
+def contract_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Envelopes of the queries, half of them damaged in one of four ways, and what the checks of rules and of the schema say of each."""
+    e = engine.kept(engine.contracts(corpus.queries(spark, d), corpus.store(spark, d), 3))
+    n = F.expr("int(substring(qid, 2))") % 8
+    json = contract.as_json(e)
+    damaged = json.withColumn("json", F.when(n == 0, F.replace("json", F.lit('"tool":"sparrowdex"'), F.lit('"tool":null'))).when(n == 1, F.replace("json", F.lit('"confidence":'), F.lit('"sureness":'))).when(n == 2, F.replace("json", F.lit('"rank":1,'), F.lit('"rank":"first",'))).when(n == 3, F.concat(F.expr("substring(json, 1, length(json) - 1)"), F.lit(',"more":1}'))).otherwise(F.col("json")))
+    said = contract.schema_violations(damaged).select("qid", F.lit("schema").alias("check"), "problem")
+    wrong = e.withColumn("results", F.when(n == 4, F.transform("results", lambda r: r.withField("rank", r["rank"] + 1).withField("confidence", F.lit("sure")))).otherwise(F.col("results")))
+    return said.union(contract.violations(wrong).select("qid", F.lit("rules").alias("check"), "problem"))
 
 
 def evaluation_outcomes(spark: SparkSession, d: str) -> DataFrame:
@@ -221,11 +250,84 @@ def evaluation_verdict(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.validation_status(evaluation.report(engine.evaluate(corpus.cases(spark, d), corpus.store(spark, d), with_bundles=True)))
 
 
+def evaluation_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Cases whose grade is another than in a run on all sources but one, and rows by which a report and its outcomes differ (none)."""
+    store, cases = corpus.store(spark, d), corpus.cases(spark, d)
+    now, base = (engine.kept(engine.evaluate(cases, c)) for c in (store, store.read("chunks").where("not metadata.source_name <=> 'src0'")))
+    report = engine.kept(evaluation.report(now))
+    off = evaluation.inconsistent(report, now).select(F.concat_ws("/", "dimension", "label").alias("case_id"), F.lit("report").alias("retrieval_from"), F.col("side").alias("retrieval_to"))
+    return evaluation.case_changes(now, base).select("case_id", "retrieval_from", "retrieval_to").union(off)
+
+
+def store_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Half of the documents stored with other texts, then all of them appended as they are: the store's tables afterwards, by their rows, ids and paths."""
+    docs, sections = corpus.documents(spark, d)
+    store = Store(spark, f"{shared_dir(spark)}/sparrowdex/upsert-{uuid.uuid4().hex}")
+    half = docs.where(F.substring("id", 1, 1) < "8").withColumn("file_hash", F.sha1("file_hash"))
+    ingest(store, half, sections.join(half.select(F.col("id").alias("document_id")), "document_id", "left_semi").withColumn("content", F.concat(F.lit("older text "), "content")))
+    ingest(store, docs, sections, append=True)
+    t = {name: store.read(name) for name in ("documents", "sections", "chunks")}
+    row = lambda name, key: t[name].agg(F.lit(name).alias("name"), F.count("*").alias("n_rows"), F.countDistinct("id").alias("n_ids"), F.min("id").alias("least"), F.max("id").alias("most"), F.countDistinct(key).alias("n_keys"))
+    index = store.index().terms.agg(F.lit("terms").alias("name"), F.sum("df").alias("n_rows"), F.count("*").alias("n_ids"), F.min("term").alias("least"), F.lit(None).cast("string").alias("most"), F.countDistinct("df").alias("n_keys"))
+    return row("documents", "source_path").union(row("sections", "document_id")).union(row("chunks", "section_id")).union(index)
+
+
+def front_matter(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as markdown with a leading block: quoted and plain titles, an unclosed block, and a block without a title."""
+    rows = corpus.table(spark, d, "conversations").where("conv_id is not null").select("conv_id").distinct()
+    n = F.col("conv_id")
+    text = n.cast("string")
+    block = F.when(n % 4 == 0, F.concat(F.lit('---\ntitle: "Talk '), text, F.lit(': one"\nkind: x\n---\n'))).when(n % 4 == 1, F.concat(F.lit("---\nkind: x\ntitle:  Talk "), text, F.lit("\n---\n"))).when(n % 4 == 2, F.lit("---\nkind: x\n---\n")).otherwise(F.lit("---\ntitle: never closed\n"))
+    raw = F.concat(block, F.lit("Lead of the talk.\n\nUnder lined\n===\n\nText.\n\n```\n# no heading\n```\n\n### Deep ###\n\nimport this from that\n<!-- note -->\n<Wrapper kind=\"x\">\nEnd of "), text, F.lit(".\n"))
+    docs, sections = parsing.markdown(rows.select(F.concat(F.lit("talks/"), text, F.lit(".md")).alias("source_path"), raw.alias("raw"), F.lit(None).cast("timestamp").alias("modified")))
+    out = sections.join(docs.select(F.col("id").alias("document_id"), "source_path", "title"), "document_id")
+    return out.select("source_path", "title", "section_order", "section_title", "heading_level", T.joined_path(F.col("heading_path")).alias("heading_path"), "content")
+
+
+def wiki_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Regions as wikitext with a table of their nations, notes, links and nested templates; some pages are redirects."""
+    n = corpus.table(spark, d, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("nations"))
+    r = corpus.table(spark, d, "region").join(n, F.col("r_regionkey") == F.col("n_regionkey"))
+    lines = F.array_join(F.transform("nations", lambda x: F.concat(F.lit("|-\n| align=left | "), x["n_name"], F.lit("\n| "), x["n_nationkey"].cast("string"), F.lit("\n"))), "")
+    body = F.concat(F.lit("{{Box|a={{b}}|c=d}}"), F.lit("'''"), F.col("r_name"), F.lit("''' is a [[Continent (geo)|region]]<ref name=x>a note</ref> of [[Nation]]s.\n\n\n\n== Nations ==\n{| class=x\n! style=y | Name\n"), lines, F.lit("|}\n[[Category:Regions]] See [https://e.org/a the site] [https://e.org/b] <br/>end.\n=== Empty ===\n== Last ==\n''done''"))
+    text = F.when(F.col("r_regionkey") % 3 == 1, F.lit("#REDIRECT [[Other]]")).otherwise(body)
+    docs, sections = parsing.wikitext(r.select(F.concat(F.lit("Region "), F.initcap("r_name")).alias("title"), text.alias("wikitext"), F.lit(None).cast("timestamp").alias("scraped")), "https://wiki.example.org")
+    out = sections.join(docs.select(F.col("id").alias("document_id"), "source_path", "source_url"), "document_id")
+    return out.select("source_path", "source_url", "section_order", "section_title", "heading_level", T.joined_path(F.col("heading_path")).alias("heading_path"), "content")
+
+
+def rich_text_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Regions as rich-text trees: an introduction, and content with tabs or without; every kind of node and mark occurs."""
+    n = corpus.table(spark, d, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("nations"))
+    r = corpus.table(spark, d, "region").join(n, F.col("r_regionkey") == F.col("n_regionkey"))
+    list_ = lambda of: F.concat(F.lit("["), F.array_join(F.transform("nations", of), ","), F.lit("]"))
+    node = lambda kind, content, attrs="{}": F.concat(F.lit(f'{{"type":"{kind}","attrs":{attrs},"content":'), content, F.lit("}"))
+    word = lambda c, marks="[]": F.concat(F.lit('{"type":"text","text":"'), c, F.lit(f'","marks":{marks}}}'))
+    one = lambda *cs: F.concat(F.lit("["), F.concat_ws(",", *cs), F.lit("]"))
+    para = lambda *cs: node("paragraph", one(*cs))
+    name = lambda x: x["n_name"]
+    intro = node("doc", one(para(word(F.lit("About ")), word(F.col("r_name"), '[{"type":"code"}]'), F.lit('{"type":"hardBreak"}'), word(F.lit("site"), '[{"type":"link","attrs":{"href":"https://e.org"}}]')), node("horizontalRule", F.lit("[]"))))
+    first = node("doc", one(
+        node("heading", one(word(F.lit("Nations"))), '{"level":2}'), node("bulletList", list_(lambda x: node("listItem", one(para(word(name(x))))))), node("orderedList", list_(lambda x: node("listItem", one(para(word(F.lit("No"))), para(word(x["n_nationkey"].cast("string"))))))),
+        node("heading", one(word(F.lit("Table"))), '{"level":3}'), node("table", list_(lambda x: node("tableRow", one(node("tableCell", one(para(word(name(x))))), node("tableCell", one(para(word(x["n_nationkey"].cast("string")))))))))),
+    )
+    second = node("doc", one(
+        node("blockquote", one(para(word(F.lit("quoted"))), para(word(F.col("r_name"))))), node("codeBlock", one(word(F.lit("x = 1")))), F.lit('{"type":"image","attrs":{"caption":"a picture"}}'), F.lit('{"type":"tokensManagement","attrs":{"tokens":[{"path":"a.b"},{"name":"none"},{"path":"c"}]}}'),
+        F.lit('{"type":"shortcut-tiles","attrs":{"shortcutTiles":[{"title":"T","link":"L"},{},{"description":"D"}]}}'), node("layout", one(para(word(F.lit("in"))), para(word(F.lit("out"))))),
+    ))
+    tabs = F.concat(F.lit('{"type":"tabs","tabs":{"b":{"uid":"b","name":"More","order":2,"contentNode":'), second, F.lit('},"a":{"uid":"a","name":"Overview","order":1,"contentNode":'), first, F.lit("}}}"))
+    content = F.when(F.col("r_regionkey") % 2 == 0, tabs).otherwise(second)
+    pages = r.select(F.col("r_regionkey").alias("id"), F.initcap("r_name").alias("name"), F.concat(F.lit("u"), F.col("r_regionkey").cast("string")).alias("uid"), F.lit("World").alias("category"), intro.alias("introduction_node"), content.alias("content_node"), F.lit(None).cast("timestamp").alias("scraped"))
+    docs, sections = parsing.design_pages(pages, "https://d.example/", "share")
+    out = sections.join(docs.select(F.col("id").alias("document_id"), "source_path", "source_url", "title"), "document_id")
+    return out.select("source_path", "source_url", "title", "section_order", "section_title", "heading_level", T.joined_path(F.col("heading_path")).alias("heading_path"), "content")
+
+
 FLAGSHIP: Query = search_results
 _ALL = (
     token_counts, ids_and_paths, html_titles, html_sections, markdown_sections, wikitext_sections, event_properties, chunk_rows, chunk_links, page_chunks, stats_overview, stats_chunks_per_document, stats_largest_chunks, stats_small_chunks,
     stats_duplicate_chunks, stats_sources, inspect_document, inspect_chunks, query_profiles, index_postings, bm25_passes, candidate_cascade, rerank_signals, search_results, search_snippets, context_bundles, runtime_contracts, contract_parts,
-    evaluation_outcomes, evaluation_report, evaluation_bundles, evaluation_confusions, evaluation_baseline, evaluation_verdict,
+    file_anchors, contract_violations, evaluation_outcomes, evaluation_report, evaluation_bundles, evaluation_confusions, evaluation_baseline, evaluation_verdict, evaluation_changes, store_upsert, front_matter, wiki_tables, rich_text_pages,
 )
 
 

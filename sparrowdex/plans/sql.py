@@ -320,7 +320,7 @@ def twins() -> dict[str, str]:
     out["stats_duplicate_chunks"] = with_(CHUNKS, "SELECT count(*) AS duplicate_count, min(id) AS sample_chunk_id, min(source_path) AS sample_source_path FROM chunks GROUP BY content HAVING count(*) > 1 ORDER BY duplicate_count DESC, sample_chunk_id LIMIT 25")
     out["stats_sources"] = with_(CHUNKS, "SELECT 'repo_markdown' AS source_type, coalesce(d.source, '') AS source_name, count(DISTINCT d.document_id) AS document_count, count(DISTINCT s.section_id) AS section_count, count(c.id) AS chunk_count FROM docs d LEFT JOIN secs s ON s.document_id = d.document_id LEFT JOIN chunks c ON c.section_id = s.section_id GROUP BY ALL")
     out["inspect_document"] = with_(CHUNKS, "SELECT d.document_id AS id, d.source_path, 'Document ' || d.doc_id AS title, count(c.id) AS chunk_count, coalesce(sum(c.token_count), 0)::BIGINT AS token_count, 1 AS n_sections FROM docs d LEFT JOIN chunks c ON c.document_id = d.document_id WHERE d.source_path = 'docs/src0/0.md' GROUP BY ALL")
-    out["inspect_chunks"] = with_(CHUNKS, "SELECT id AS chunk_id, token_count, title AS document_title, source AS source_name FROM chunks WHERE source_path = 'docs/src0/0.md'")
+    out["inspect_chunks"] = with_(CHUNKS, "SELECT id AS chunk_id, chunk_order, token_count, title, source_path, 'repo_markdown' AS source_type, source AS source_name, 0 AS section_order, 0 AS heading_level, 0 AS depth, sha1(content) AS content_hash FROM chunks WHERE source_path = 'docs/src0/0.md' AND chunk_order < 2 ORDER BY chunk_order DESC LIMIT 1")
     bar = lambda c: f"array_to_string({c}, '|') AS {c}"
     out["query_profiles"] = with_(PROFILES, f"SELECT qid, normalized, {bar('tokens')}, {bar('expanded')}, {bar('phrases')}, intent, task, {bar('families')}, {bar('file_hints')} FROM profiles")
     base = f"{CHUNKS}, {PROFILES}, {SCORED}"
@@ -330,12 +330,6 @@ def twins() -> dict[str, str]:
     full = f"{base}, {SIGNALS}"
     out["rerank_signals"] = with_(full, f"SELECT qid, chunk_id, {', '.join(_SHOWN)}, round(weighted_score, 3) AS weighted_score FROM signals")
     out["search_results"] = with_(full, "SELECT qid, rank, chunk_id, source_path, source_name, document_title, round(weighted_score, 3) AS rerank_score, token_count FROM results")
-    out["context_bundles"] = with_(
-        f"{full}, bd AS (SELECT qid, rank, token_count, {truncated('content', '300')} AS shown FROM results)",
-        f"SELECT qid, rank, {tokens('shown')} AS bundle_token_count, CASE WHEN token_count > 300 THEN 'truncated_match' ELSE 'match_only' END AS selection_strategy, 1 AS n_chunks, {tokens('shown')} <= 300 AS within_budget, token_count > 300 AS truncated, 0 AS duplicate_chunk_count, sha1(shown) AS first_hash FROM bd",
-    )
-    plain = "trim(array_to_string(list_filter(list_transform(string_split_regex(content, '\\r\\n|[\\n\\r]'), lambda x: trim(x)), lambda x: x <> '' AND NOT starts_with(x, 'Heading: ')), ' '))"
-    out["contract_parts"] = with_(CHUNKS, f"SELECT id, sha1(trim(source_path) || '||||')[1:16] AS contract_id, CASE WHEN token_count = 1 THEN 'high' WHEN token_count <= 3 THEN 'medium' ELSE 'low' END AS confidence, sha1({plain}) AS text_hash FROM chunks")
     graded = f"{full}, {GRADED}"
     flag = lambda g, k: f"coalesce(grade = '{g}' AND hit_rank <= {k}, false)"
     S, W = "STRONG PASS", "WEAK PASS"
@@ -343,4 +337,11 @@ def twins() -> dict[str, str]:
     n = lambda g, k: f"count(*) FILTER (WHERE {flag(g, k)})"
     out["evaluation_report"] = with_(f"{graded}, {REPORT}", f"SELECT dimension, label, count(*) AS total_queries, count(*) FILTER (WHERE grade = '{S}') AS strong_passes, count(*) FILTER (WHERE grade = '{W}') AS weak_passes, count(*) FILTER (WHERE grade = 'MISS') AS misses, {n(S, 1)} AS top_1_strong_passes, {n(S, 3)} AS top_3_strong_passes, {n(S, 5)} / count(*) AS top_5_strong_pass_rate, {n(W, 5)} / count(*) AS top_5_weak_pass_rate, string_agg(case_id, '|' ORDER BY case_id) AS case_ids FROM groups GROUP BY dimension, label")
     out["evaluation_confusions"] = with_(graded, "SELECT case_id, expected_source_name, hit_source AS matched_result_source_name, grade FROM outcomes WHERE expected_source_name IS NOT NULL AND NOT coalesce(list_contains(list_concat([expected_source_name], asn), hit_source), false)")
-    return out
+    out["store_upsert"] = with_(
+        base,
+        "SELECT 'documents' AS name, count(*) AS n_rows, count(DISTINCT document_id) AS n_ids, min(document_id) AS least, max(document_id) AS most, count(DISTINCT source_path) AS n_keys FROM docs UNION ALL SELECT 'sections', count(*), count(DISTINCT section_id), min(section_id), max(section_id), count(DISTINCT document_id) FROM secs"
+        " UNION ALL SELECT 'chunks', count(*), count(DISTINCT id), min(id), max(id), count(DISTINCT section_id) FROM chunks UNION ALL SELECT 'terms', sum(df)::BIGINT, count(*), min(term), NULL, count(DISTINCT df) FROM (SELECT term, count(DISTINCT chunk_id) AS df FROM occ GROUP BY term)",
+    )
+    from . import sql_results
+
+    return out | sql_results.twins(base) | sql_results.structured()
