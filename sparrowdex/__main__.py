@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .operators import contract, diagnostics, evaluation, parsing
 from .operators import bundles as B
-from .plans import engine
+from .plans import engine, rendering
 from .plans.store import Store, ingest
 from .sources import files
 
@@ -38,8 +38,12 @@ def _parser() -> argparse.ArgumentParser:
     add("stats", limit=10)
     add("inspect-chunk", "id")
     add("inspect-doc", "id")
-    add("eval", "cases", with_bundles=False, bundle_max_tokens=450, baseline=None, markdown=False)
-    add("verify", "cases", bundle_max_tokens=450, baseline=None, worktree=None, allow_dirty=False)
+    add("eval", "cases", with_bundles=False, bundle_max_tokens=450, baseline=None, markdown=False, details=False)
+    v = add("verify", "cases", bundle_max_tokens=450, baseline=None, worktree=None, allow_dirty=False, base_url="https://example.org", share="site", without_bundles=False, **limits)
+    v.add_argument("--ingest", help="a markdown tree, a wiki dump, or a payload of pages (with --navigation) to ingest first")
+    v.add_argument("--kind", choices=("markdown", "pages", "wiki"), default="markdown")
+    v.add_argument("--navigation")
+    v.add_argument("--smoke", action="append", default=[], help="a query whose three best results are part of the payload; may be given more than once")
     return top
 
 
@@ -54,9 +58,12 @@ def _dicts(df: DataFrame) -> list[dict]:
 
 
 def _ingest(spark: SparkSession, a: argparse.Namespace, store: Store) -> list[dict]:
-    if a.command == "ingest":
+    kind = {"ingest": "markdown", "ingest-pages": "pages", "ingest-wiki": "wiki"}.get(a.command) or a.kind
+    if a.command == "verify":
+        a.source = a.dump = a.payload = a.ingest
+    if kind == "markdown":
         parsed = parsing.markdown(files.markdown_tree(spark, a.source), files.worktree(a.source)["commit"])
-    elif a.command == "ingest-wiki":
+    elif kind == "wiki":
         parsed = parsing.wikitext(files.wiki_dump(spark, a.dump), a.base_url)
     else:
         whole = lambda p: spark.read.text(p, wholetext=True).withColumnRenamed("value", "json")
@@ -103,18 +110,25 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             return 1
     else:
         cases = files.eval_cases(spark, a.cases)
-        base = evaluation.report(files.report_artifact(spark, a.baseline)) if a.baseline else None
-        made = engine.kept(engine.evaluate(cases, store, a.command == "verify" or a.with_bundles, a.bundle_max_tokens))
-        report = evaluation.report(made)
+        old = engine.kept(files.report_artifact(spark, a.baseline)) if a.baseline else None
+        base = evaluation.report(old) if old is not None else None
+        told = {"ingest": _ingest(spark, a, store)[0]} if a.command == "verify" and a.ingest else {}
+        with_bundles = a.with_bundles if a.command == "eval" else not a.without_bundles
+        made = engine.kept(engine.evaluate(cases, store, with_bundles, a.bundle_max_tokens))
+        report = engine.kept(evaluation.report(made))
         if a.command == "eval" and not a.json:
-            print(engine.render(report, a.markdown))
+            parts = rendering.sections(report, made, base, old, a.baseline, a.details)
+            print((rendering.markdown if a.markdown else rendering.text)(parts))
             return 0
         if a.command == "eval":
             rows = [{"outcomes": _dicts(made), "report": _dicts(report), "comparison": _dicts(evaluation.comparison(report, base)) if base is not None else None}]
         else:
             state = files.worktree(a.worktree) if a.worktree else None
             verdict = _dicts(evaluation.validation_status(report, evaluation.comparison(report, base) if base is not None else None))[0]
-            rows = [verdict | {"worktree": state}]
+            asked = spark.createDataFrame([(f"{i:04d}", q) for i, q in enumerate(a.smoke)], "qid string, raw_query string")
+            smoke = _dicts(engine.search(asked, store, 3)[0].drop("breakdown").orderBy("qid", "rank")) if a.smoke else []
+            told |= {"smoke_queries": {q: [r for r in smoke if r["qid"] == f"{i:04d}"] for i, q in enumerate(a.smoke)}} if a.smoke else {}
+            rows = [verdict | {"worktree": state} | told | ({"stats": _stats(argparse.Namespace(limit=5), store)[0], "outcomes": _dicts(made)} if a.json else {})]
             _emit(rows, a.json)
             return int(verdict["status"] == "NON_GREEN" or bool(state and state["is_git_repo"] and not state["clean"] and not a.allow_dirty))
     _emit(rows, a.json)

@@ -70,21 +70,6 @@ def verify(store: Store, cases: DataFrame, baseline: DataFrame | None = None, wi
     return evaluation.validation_status(now, None if baseline is None else evaluation.comparison(now, evaluation.report(baseline)))
 
 
-def render(report: DataFrame, markdown: bool = False) -> str:
-    """A report as text, or as a markdown summary with a table for each dimension that has groups."""
-    rows = sorted(report.collect(), key=lambda r: (r.dimension != "overall", r.dimension, r.label))
-    total = next((r for r in rows if r.dimension == "overall"), None)
-    out = [f"- {k}: {v}" if markdown else f"{k}: {v}" for k, v in (("total_queries", total.total_queries if total else 0), ("strong_passes", total.strong_passes if total else 0), ("weak_passes", total.weak_passes if total else 0), ("misses", total.misses if total else 0))]
-    out = (["# Evaluation", "", *out] if markdown else out) + ([f"top_{k}_strong_pass_rate: {total[f'top_{k}_strong_pass_rate']:.3f}" for k in (1, 3, 5)] if total and not markdown else [])
-    for name in dict.fromkeys(r.dimension for r in rows if r.dimension != "overall"):
-        own = [r for r in rows if r.dimension == name]
-        if markdown:
-            out += ["", f"## {name}", "", "| label | queries | strong | weak | misses |", "|-|-|-|-|-|", *(f"| {r.label} | {r.total_queries} | {r.strong_passes} | {r.weak_passes} | {r.misses} |" for r in own)]
-        else:
-            out += [f"{name}:", *(f"  {r.label}: total={r.total_queries} strong={r.strong_passes} weak={r.weak_passes} misses={r.misses}" for r in own)]
-    return "\n".join(out)
-
-
 def emit(df: DataFrame) -> DataFrame:
     """Each row as one JSON string with nulls present."""
     return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("json"))

@@ -34,6 +34,24 @@ def test_from_files_to_a_verdict(spark, tmp_path, capsys):
     assert (verdict["baseline_status"], verdict["misses"]) == ("not_compared", 0)
     assert code == int(verdict["status"] == "NON_GREEN")
 
+    # a run as the baseline of the next, on other files
+    cases = [{"id": "a", "query": "read a setting", "preferred_document_paths": ["settings.md"], "bucket": "one"}, {"id": "b", "query": "zzz", "bucket": "two"}]
+    (tmp_path / "cases.json").write_text(json.dumps(cases[:1]))
+    (tmp_path / "old.json").write_text(run(capsys, spark, "eval", tmp_path / "cases.json", *store, "--with-bundles")[1])
+    (tmp_path / "cases.json").write_text(json.dumps(cases))
+    shown = run(capsys, spark, "eval", tmp_path / "cases.json", "--store", tmp_path / "store", "--with-bundles", "--baseline", tmp_path / "old.json", "--details")[1]
+    assert "  bucket two: status=added" in shown
+    assert "  retrieval misses: current=1.000 baseline=0.000 delta=1.000" in shown
+    assert "  MISS b: zzz" in shown
+    assert "    ranking_diagnostic: There are no results to order." in shown
+    marked = run(capsys, spark, "eval", tmp_path / "cases.json", "--store", tmp_path / "store", "--markdown", "--with-bundles", "--baseline", tmp_path / "old.json")[1]
+    assert "## Differences" in marked
+    assert "| two | 1 | 0 | 0 | 1 | 0.000 |" in marked
+    code, out = run(capsys, spark, "verify", tmp_path / "cases.json", "--store", tmp_path / "other", "--json", "--ingest", tmp_path / "docs", "--smoke", "default value", "--smoke", "zzz", "--without-bundles")
+    payload = json.loads(out)
+    assert (code, payload["status"], payload["ingest"]["documents"], payload["stats"]["overview"]["documents"]) == (1, "NON_GREEN", 1, 1)
+    assert [len(v) > 0 for v in payload["smoke_queries"].values()] == [True, False]
+
 
 def test_unknown_tokenizers_are_errors():
     with pytest.raises(ValueError, match="no tokenizer"):

@@ -12,7 +12,7 @@ from sparrowdex.operators import rules as R
 from sparrowdex.operators.chunking import chunk
 from sparrowdex.operators.profile import profile
 from sparrowdex.plans import default_rules as D
-from sparrowdex.plans import engine
+from sparrowdex.plans import engine, rendering
 
 FILES = {
     "docs/apis/settings.md": "# Settings API\n\nThe settings page is defined in `db/settings.php` and in admin/tool.php for every plugin.\n\n## Adding settings\n\nAdd a setting with a name and a default value; the value is stored in the database table.\n\n## Reading settings\n\nRead the configuration with a call that returns the stored value or the default value.",
@@ -241,8 +241,9 @@ def test_grading(spark):
     assert ("query_style", "uncategorized") not in rows
     assert evaluation.inconsistent(rep, o).count() == 0
     assert evaluation.inconsistent(rep.withColumn("misses", F.col("misses") + 1), o).count() > 0
-    assert "strong_passes: 2" in engine.render(rep)
-    assert "| b1 | 2 | 1 | 1 | 0 |" in engine.render(rep, markdown=True)
+    parts = rendering.sections(rep)
+    assert "  strong_passes: 2" in rendering.text(parts)
+    assert "| b1 | 2 | 1 | 1 | 0 |" in rendering.markdown(parts)
     assert evaluation.validation_status(rep).head().status == "NON_GREEN"
     assert {x.case_id for x in evaluation.source_confusions(o).collect()} == {"blocked"}
 
