@@ -90,3 +90,55 @@ def test_one_row_of_each_group_stays(spark, edge, nothing):
 
 def test_the_errors_allowed_leave_a_chunk_with_one_at_most():
     assert ERRORS < 2 * 7
+
+
+def test_nodes_of_different_components_meet_in_one_pair_of_blocks(spark, monkeypatch):
+    """Of a key beyond a block: pairs across components exactly once, those within a large component only within a block."""
+    from collections import Counter
+
+    from sparrowdex.llm import near_duplicates as N
+
+    monkeypatch.setattr(N, "BLOCK", 8)
+    of = {n: 1000 if n < 60 else 2000 if n < 90 else 3000 + n % 5 if n < 110 else n for n in range(130)}
+    rows = [(1, n, c, len(of)) for n, c in of.items()] + [(2, n, of[n], 6) for n in range(57, 63)]
+    out = N.blocks(spark.createDataFrame(rows, "key long, node long, comp long, m long")).collect()
+    meet = Counter()
+    by = {}
+    for r in out:
+        by.setdefault((r.key, r.i, r.j), []).append(r)
+    for (key, i, j), held in by.items():
+        assert len({r.node for r in held}) == len(held)
+        left, right = [r.node for r in held if r.own == i], [r.node for r in held if r.own == j]
+        assert len(left) + (0 if i == j else len(right)) == len(held)
+        meet.update((key, min(a, b), max(a, b)) for a in left for b in right if (a < b if i == j else True))
+    for key, nodes in ((1, range(130)), (2, range(57, 63))):
+        for a in nodes:
+            for b in range(a + 1, max(nodes) + 1):
+                assert meet[key, a, b] == 1 if of[a] != of[b] else meet[key, a, b] <= 1
+    assert not any(meet[1, a, b] for a in range(60) for b in range(a + 1, 60))  # a large component's own blocks don't meet
+
+
+def test_hot_keys_are_looked_up_as_others(spark, monkeypatch):
+    from sparrowdex.llm import common as C
+
+    rows = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(900)], "k long, v long")
+    table = spark.createDataFrame([(k, k * 10) for k in range(0, 900, 2)] + [(1, 7)], "k long, w long")
+    got = C.looked_up(rows, "k", rows.groupBy("k").count().toDF("k", "n"), table)
+    assert sorted(map(tuple, got.select("k", "v", "w").collect())) == sorted(map(tuple, rows.join(table, "k").select("k", "v", "w").collect()))
+    left = C.looked_up(rows, "k", rows.groupBy("k").count().toDF("k", "n"), table.where("k <> 1"), "left")
+    assert sorted(map(str, left.select("k", "v", "w").collect())) == sorted(map(str, rows.join(table.where("k <> 1"), "k", "left").select("k", "v", "w").collect()))
+    empty = rows.where("false")
+    assert C.looked_up(empty, "k", empty.groupBy("k").count().toDF("k", "n"), table).count() == 0
+
+
+def test_columns_of_any_name_and_repeated_rows_in_the_filter(spark):
+    from sparrowdex.llm.near_duplicates import without_near_duplicates
+
+    text = "one two three four five six seven"
+    rows = [(1, text, "b", 1), (1, text, "a", 2), (1, text, "a", 2), (2, text, "c", 3), (3, None, "d", 4), (3, "", "e", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string, `row.id` int").withColumnRenamed("row.id", "stay_hash")
+    out = [tuple(r) for r in without_near_duplicates(docs).collect()]
+    again = [tuple(r) for r in without_near_duplicates(docs.repartition(5)).collect()]
+    assert sorted(out, key=str) == sorted(again, key=str)
+    assert len(out) == 3
+    assert {r[2] for r in out} in ({"a", "d", "e"}, {"b", "d", "e"})

@@ -108,3 +108,17 @@ def test_a_pair_is_not_fixed_where_three_fit_beside_the_largest():
     fixed = P.reduce(left, 20)
     rest = [s for s, n in left.items() for _ in range(n)]
     assert sum(n for n, _ in fixed) + (fewest(rest, 20) if rest else 0) == fewest(sizes, 20) == 2
+
+
+def test_the_reduction_costs_no_sequence_in_larger_ones():
+    """Sizes of which several together often fill what one leaves."""
+    rng = random.Random(12)
+    instances = [[50, 45, 45, 16, 16, 16, 10]]
+    for _ in range(1500):
+        few = [rng.choice([50, 45, 40, 34, 33, 25, 20, 17, 16, 15, 11, 10, rng.randint(1, 100)]) for _ in range(rng.randint(3, 6))]
+        instances.append([rng.choice(few) for _ in range(rng.randint(6, 10))])
+    for sizes in instances:
+        left = dict(Counter(sizes))
+        fixed = P.reduce(left, 100)
+        rest = [s for s, n in left.items() for _ in range(n)]
+        assert sum(n for n, _ in fixed) + (fewest(rest, 100) if rest else 0) == fewest(sizes, 100), sizes
