@@ -25,6 +25,10 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Tables that ``cut`` has written in this process and that are not deleted yet.
+_made: set[str] = set()
+
+
 def cut(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: short lineage that survives lost executors.
 
@@ -37,17 +41,38 @@ def cut(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._sparrowdex_path = path
+    _made.add(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _made.discard(path)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables made by ``cut`` that nothing reads any more."""
     for df in tables:
         path = getattr(df, "_sparrowdex_path", None)
         if path:
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(df.sparkSession, path)
+
+
+def made() -> frozenset[str]:
+    """The tables that are there now."""
+    return frozenset(_made)
+
+
+def sweep(spark: SparkSession, since: frozenset[str] = frozenset(), *keep: DataFrame) -> None:
+    """Delete all tables that ``cut`` has written ``since`` and that aren't to be kept.
+
+    A result that an operator returns reads some of its tables when it is used, so
+    this is for the time when such results have been written.
+    """
+    kept = {getattr(df, "_sparrowdex_path", None) for df in keep}
+    for path in _made - since - kept:
+        _delete(spark, path)
 
 
 def looked_up(rows: DataFrame, key: str, counts: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:

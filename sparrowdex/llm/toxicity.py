@@ -191,7 +191,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 12_000, keep: int =
         C.drop(hashes)
         return start
     chosen = hashes.where("y").orderBy("h").limit(sample // 3).union(hashes.where("not y").orderBy("h").limit(sample - sample // 3))
-    rows = texts.join(F.broadcast(chosen), ["doc_id", "h"]).select("h", "y", "text").dropDuplicates(["h"])
+    rows = texts.join(F.broadcast(chosen), ["doc_id", "h"]).select("h", "y", "text").dropDuplicates(["h"]).coalesce(16)
     rows = rows.mapInArrow(_family, "h long, y boolean, text string, family long")
     rows = rows.groupBy("family").agg(F.max("y").alias("y"), F.min_by("text", "h").alias("text"))
     rows = C.cut(rows.select("y", "text"), "labelled")

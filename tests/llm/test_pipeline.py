@@ -66,3 +66,10 @@ def test_stages_on_edges(spark, edge, nothing):
                 assert n <= docs.count()
                 assert out.schema == docs.schema
                 assert not Counter(map(repr, out.collect())) - Counter(map(repr, docs.collect()))
+
+
+def test_the_pipeline_leaves_its_result_only(spark):
+    before = C.made()
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert C.made() - before == {out._sparrowdex_path}
+    assert out.count() > 0
