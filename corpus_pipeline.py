@@ -56,8 +56,8 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir):
     """The stages one after the other, each written to the shared folder and read again."""
-    docs = C.read(spark, sf_dir, "documents")
+    before, docs = C.made(), C.read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        before, docs = docs, C.cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-        C.drop(before)
+        docs = C.cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        C.sweep(spark, before, docs)  # what the stage wrote on its way, and the stage before it
     return docs
