@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,13 +35,19 @@ class Index:
 
     def of(self, wanted: DataFrame) -> DataFrame:
         """The postings that may be of the ``wanted`` terms (term): for few terms, only their buckets and row groups are read."""
-        few = [r.term for r in wanted.select("term").distinct().limit(FEW + 1).collect()]
-        if len(few) > FEW:
+        few = _few(wanted, "term")
+        if few is None:
             return self.postings
         rows = self.postings
         if self.buckets is not None:
             rows = rows.where(F.col("bucket").isin(sorted({bucket(t, self.buckets) for t in few})))
-        return rows.where(F.col("term").isin(sorted(few)))
+        return rows.where(F.col("term").isin(few))
+
+
+def _few(rows: DataFrame, key: str) -> list[str] | None:
+    """The distinct keys, sorted, if there are at most ``FEW``."""
+    found = [r[0] for r in rows.select(key).distinct().limit(FEW + 1).collect()]
+    return sorted(found) if len(found) <= FEW else None
 
 
 def bucket(term: str, buckets: int) -> int:
@@ -57,21 +66,49 @@ def field_columns(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.col("id").alias("chunk_id"), "content", m["source_path"].alias("source_path"), m["document_title"].alias("document_title"), T.joined_path(F.coalesce(m["heading_path"], F.array().cast("array<string>"))).alias("heading_path"))
 
 
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each term of a chunk, from the chunk's terms in order and how many of them each field has.
+
+    The terms of a slice of chunks are numbered and sorted as arrays; grouping within a
+    chunk needs no shuffle, and built-in functions could do it only with one.
+    """
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1000):
+            b = whole.slice(at, 1000)
+            terms = b.column("terms")
+            flat = terms.flatten().dictionary_encode()
+            codes = flat.indices.to_numpy()
+            size = terms.value_lengths().to_numpy()
+            row = np.repeat(np.arange(b.num_rows), size)
+            ends = np.cumsum(b.column("sizes").flatten().to_numpy().reshape(b.num_rows, len(FIELDS)), 1)
+            within = np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size)
+            of = (within[:, None] >= ends[row]).sum(1)
+            start = np.where(of > 0, ends[row, np.maximum(of - 1, 0)], 0)
+            place = of.astype(np.int64) * FIELD + within - start
+            order = np.lexsort([codes, row])  # stable, so places stay in order
+            codes, row, place = codes[order], row[order], place[order]
+            first = np.flatnonzero(np.concatenate([[True], (codes[1:] != codes[:-1]) | (row[1:] != row[:-1])])) if len(codes) else np.zeros(0, np.int64)
+            ends_ = np.append(first, len(codes))
+            yield pa.RecordBatch.from_arrays(
+                [flat.dictionary.take(pa.array(codes[first])), b.column("chunk_id").take(pa.array(row[first])), b.column("dl").take(pa.array(row[first])), pa.array(np.diff(ends_), pa.int32()), pa.ListArray.from_arrays(pa.array(ends_, pa.int32()), pa.array(place, pa.int64()))],
+                ["term", "chunk_id", "dl", "tf", "places"],
+            )
+
+
 def build(chunks: DataFrame) -> Index:
-    """Index all chunks by the terms of their four fields."""
-    rows = field_columns(chunks).select("chunk_id", F.array(*(F.struct(F.lit(i).cast("long").alias("field"), T.index_terms(F.col(f)).alias("terms")) for i, f in enumerate(FIELDS))).alias("fields"))
-    rows = rows.withColumn("dl", F.aggregate("fields", F.lit(0).cast("long"), lambda n, f: n + F.size(f["terms"])))
-    terms = rows.select("chunk_id", "dl", F.explode("fields").alias("f")).select("chunk_id", "dl", "f.field", F.posexplode("f.terms").alias("pos", "term"))
-    by = terms.groupBy("term", "chunk_id").agg(F.first("dl").alias("dl"), F.sort_array(F.collect_list(F.col("field") * FIELD + F.col("pos"))).alias("places"))
-    by = by.select("term", "chunk_id", "dl", F.size("places").alias("tf"), "places")
+    """Index all chunks by the terms of their four fields, chunk by chunk, without a shuffle."""
+    terms = F.array(*(T.index_terms(F.col(f)) for f in FIELDS))
+    rows = field_columns(chunks).select("chunk_id", terms.alias("fields")).select("chunk_id", F.flatten("fields").alias("terms"), F.transform("fields", F.size).alias("sizes")).withColumn("dl", F.size("terms").cast("long"))
+    by = rows.mapInArrow(_grouped, "term string, chunk_id string, dl long, tf int, places array<long>")
     return Index(by, by.groupBy("term").agg(F.count("*").alias("df")), rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
 
 
 def postings(index: Index) -> DataFrame:
     """(term, chunk_id, field, tf, positions): the places of each term by field."""
-    rows = index.postings.select("term", "chunk_id", F.explode("places").alias("p"))
-    rows = rows.select("term", "chunk_id", F.floor(F.col("p") / FIELD).cast("int").alias("field"), (F.col("p") % FIELD).cast("int").alias("pos"))
-    return rows.groupBy("term", "chunk_id", "field").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    of = lambda k: F.transform(F.filter("places", lambda p: F.floor(p / FIELD) == k), lambda p: (p % FIELD).cast("int"))
+    each = F.filter(F.array(*(F.struct(F.lit(k).alias("field"), of(k).alias("positions")) for k in range(len(FIELDS)))), lambda x: F.size(x["positions"]) > 0)
+    rows = index.postings.select("term", "chunk_id", F.explode(each).alias("f"))
+    return rows.select("term", "chunk_id", "f.field", F.size("f.positions").cast("long").alias("tf"), "f.positions")
 
 
 def plans(queries: DataFrame, tokens: Column, expanded: Column, normalized: Column) -> DataFrame:
@@ -105,9 +142,10 @@ def phrase_hits(index: Index, plan: DataFrame) -> DataFrame:
     several = terms.where(F.size("words") > 1).join(index.terms, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     rarest = several.groupBy("words").agg(F.min(F.struct("df", "at", "term")).alias("r")).where("r.df > 0").select("words", "r.at", "r.term")
     starts = lambda at: F.transform("places", lambda p: p - at)
-    seeds = found.join(rarest, "term").select("words", "chunk_id", "dl", F.col("at").alias("seed_at"), starts(F.col("at")).alias("s"))
+    seeds = index.of(rarest).join(rarest, "term").select("words", "chunk_id", "dl", F.col("at").alias("seed_at"), starts(F.col("at")).alias("s"))
     others = several.select("words", "at", "term").join(seeds.select("words", "chunk_id", "seed_at"), "words").where("at <> seed_at")
-    held = found.join(others, ["term", "chunk_id"]).groupBy("words", "chunk_id").agg(F.count("*").alias("n"), F.collect_list(starts(F.col("at"))).alias("all"))
+    near = _few(seeds, "chunk_id")
+    held = (found if near is None else found.where(F.col("chunk_id").isin(near))).join(others, ["term", "chunk_id"]).groupBy("words", "chunk_id").agg(F.count("*").alias("n"), F.collect_list(starts(F.col("at"))).alias("all"))
     places = seeds.join(held, ["words", "chunk_id"]).where(F.col("n") == F.size("words") - 1)
     tf = F.size(F.aggregate("all", F.col("s"), lambda a, b: F.array_intersect(a, b)))
     phrases = places.select("words", "chunk_id", "dl", tf.alias("tf")).where("tf > 0")
@@ -125,6 +163,8 @@ def bm25(index: Index, plan: DataFrame) -> DataFrame:
     idf = F.when(raw > 0, raw).otherwise(1e-6)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     parts = phrase_hits(index, plan).crossJoin(F.broadcast(index.corpus)).select("words", "chunk_id", part.alias("part"))
+    # hits are dealt by chunk before queries multiply them, so the sums need no shuffle of their own
+    parts = parts.repartition("chunk_id")
     passes = (1, 2, 3)
     of = lambda k: F.col("pass") == k
     asked = plan.groupBy("qid", "words").agg(*(F.count_if(of(k)).alias(f"n{k}") for k in passes), *(F.max(F.when(of(k), F.col("needed"))).alias(f"needed{k}") for k in passes))

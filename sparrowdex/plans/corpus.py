@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import inspect
+import sys
 from hashlib import sha1
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,10 +15,6 @@ from ..operators.chunking import chunk
 from .store import Store, ingest, shared_dir
 
 
-#: Changes when stores of the supplied tables must be made anew.
-LAYOUT = "2"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -57,14 +55,22 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk(*documents(spark, sf_dir))
 
 
-def store(spark: SparkSession, sf_dir: str) -> Store:
-    """The store of ``documents``: ingested into the shared folder when it is first asked for, and again when the table's files change."""
+def _code() -> str:
+    """A hash of the code that makes a store, so that one made by other code is not read."""
+    from ..operators import chunking, index
+    from . import store as module
+
+    return sha1("".join(inspect.getsource(m) for m in (T, chunking, index, module, sys.modules[__name__])).encode()).hexdigest()
+
+
+def store(spark: SparkSession, sf_dir: str, anew: bool = False) -> Store:
+    """The store of ``documents``: ingested into the shared folder when it is first asked for or ``anew``, and again when the table's files or the code change."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     files = fs.listStatus(path) if fs.getFileStatus(path).isDirectory() else [fs.getFileStatus(path)]
     state = "|".join(sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in files))
-    out = Store(spark, f"{shared_dir(spark)}/sparrowdex/corpus-{sha1(f'{LAYOUT}|{state}'.encode()).hexdigest()}")
-    if out.version() is None:
+    out = Store(spark, f"{shared_dir(spark)}/sparrowdex/corpus-{sha1(f'{_code()}|{state}'.encode()).hexdigest()}")
+    if anew or out.version() is None:
         ingest(out, *documents(spark, sf_dir))
     return out
 
