@@ -136,7 +136,7 @@ def query_profiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def index_postings(spark: SparkSession, d: str) -> DataFrame:
-    rows = index.postings(index.build(corpus.chunks(spark, d)))
+    rows = index.postings(corpus.store(spark, d).index())
     return rows.groupBy("term", "field").agg(F.count("*").alias("n_chunks"), F.sum("tf").alias("tf"), F.sum(F.element_at("positions", 1)).alias("first_positions"))
 
 
