@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .chunking import spread
 
 K1, B = 1.2, 0.75
 FIELDS = ("content", "source_path", "document_title", "heading_path")
@@ -98,7 +99,7 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def build(chunks: DataFrame) -> Index:
     """Index all chunks by the terms of their four fields, chunk by chunk, without a shuffle."""
     terms = F.array(*(T.index_terms(F.col(f)) for f in FIELDS))
-    rows = field_columns(chunks).select("chunk_id", terms.alias("fields")).select("chunk_id", F.flatten("fields").alias("terms"), F.transform("fields", F.size).alias("sizes")).withColumn("dl", F.size("terms").cast("long"))
+    rows = field_columns(spread(chunks)).select("chunk_id", terms.alias("fields")).select("chunk_id", F.flatten("fields").alias("terms"), F.transform("fields", F.size).alias("sizes")).withColumn("dl", F.size("terms").cast("long"))
     by = rows.mapInArrow(_grouped, "term string, chunk_id string, dl long, tf int, places array<long>")
     return Index(by, by.groupBy("term").agg(F.count("*").alias("df")), rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
 
