@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..plans import default_rules as D
 from . import rules as R
-from .rerank import with_chunks
+from .rerank import chunk_columns
 
 _PART = "struct<chunk_id:string,role:string,content:string,token_count:int,source_path:string,source_name:string,source_type:string,source_url:string,canonical_url:string,section_title:string,heading_path:array<string>>"
 LEAST_MATCH = 80
@@ -80,7 +80,7 @@ def support_score(rules=D) -> Column:
 
 def bundles(results: DataFrame, profiles: DataFrame, chunks: DataFrame, include_previous: bool = False, include_next: bool = False, max_tokens: int = 600, rules=D) -> DataFrame:
     """One bundle per result: qid, rank, the result's columns, chunks, bundle_token_count, selection_strategy, diagnostics."""
-    every = with_chunks(chunks.select(F.col("id").alias("chunk_id")), chunks)
+    every = chunk_columns(chunks)
     p = profiles.select("qid", "task", "families", "expanded")
     cut = (F.col("token_count") > max_tokens) if max_tokens > 0 else F.lit(False)
     rows = results.drop("breakdown").withColumn("match_content", F.when(cut, T.truncate_tokens(F.col("content"), F.lit(max_tokens))).otherwise(F.col("content"))).withColumn("match_tokens", F.when(cut, T.count_tokens(F.col("match_content"))).otherwise(F.col("token_count")))

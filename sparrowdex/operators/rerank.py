@@ -19,15 +19,19 @@ BREAKDOWN = (
 ADDED = ("canonical_bonus", "subsystem_bonus", "concept_page_bonus", "plugin_type_penalty", "family_bonus", "section_focus_bonus", "incidental_penalty", "example_penalty", "quality_adjustment", "generic_penalty", "anchor_bonus")
 
 
-def with_chunks(candidates: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Candidates (qid, chunk_id, pass, score) with their chunk's columns and metadata."""
+def chunk_columns(chunks: DataFrame) -> DataFrame:
+    """Chunks with the columns of their metadata that results show."""
     m = F.col("metadata")
-    c = chunks.select(
+    return chunks.select(
         F.col("id").alias("chunk_id"), "section_id", "chunk_order", "content", "token_count", m["document_id"].alias("document_id"), m["document_title"].alias("document_title"), m["source_path"].alias("source_path"),
         T.source_name(m["source_path"], m["source_name"], m["source_type"]).alias("source_name"), T.source_type(m["source_path"], m["source_name"], m["source_type"]).alias("source_type"),
         m["source_url"].alias("source_url"), m["canonical_url"].alias("canonical_url"), m["repo_commit_hash"].alias("repo_commit_hash"), m["section_title"].alias("section_title"), m["heading_path"].alias("heading_path"),
     )
-    return candidates.join(c, "chunk_id")
+
+
+def with_chunks(candidates: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Candidates (qid, chunk_id, pass, score) with their chunk's columns and metadata."""
+    return candidates.join(chunk_columns(chunks), "chunk_id")
 
 
 def anchor_bonus(rules=D) -> Column:
